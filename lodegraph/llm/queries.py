@@ -38,11 +38,11 @@ WITH RECURSIVE w AS (
   FROM w
 ), sized AS (SELECT doc_id, sh, len(sh) AS n FROM s
 ), item AS (SELECT doc_id, n, unnest(sh) AS x FROM sized
-), both AS (
+), linked AS (
   SELECT a.doc_id AS u, b.doc_id AS v FROM item a JOIN item b ON a.x = b.x AND a.doc_id < b.doc_id
     AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
-), edge AS (SELECT u, v FROM both UNION ALL SELECT v, u FROM both
+), edge AS (SELECT u, v FROM linked UNION ALL SELECT v, u FROM linked
 ), reach AS (
   SELECT doc_id AS node, doc_id AS r FROM sized
   UNION SELECT e.v, reach.r FROM reach JOIN edge e ON e.u = reach.node
