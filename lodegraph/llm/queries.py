@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import minhash
+from lodegraph.llm import langid, minhash, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    test = langid.held_out(2, 4)
+    found = langid.identify(docs, langid.fit(docs.where(~test & docs["doc_id"].isNotNull())))
+    return found.select("doc_id", test.alias("held_out"), "lang_pred", "score")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.NearDedup(shingle=3, percent=85))
 
@@ -24,7 +35,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": op4_language_id,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 #: Every pair of documents compared on whole shingle sets, then components by fixpoint.
