@@ -11,6 +11,7 @@ is lost to the short cut.  Links are confirmed on whole shingle sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,7 @@ class NearDedup:
     rows: int = 5
     apart_bands: int = 90
     apart_rows: int = 14
-    slack: float = 6.0
+    slack: float = 5.0
 
     def __post_init__(self) -> None:
         if min(self.shingle, self.bands, self.rows, self.apart_bands, self.apart_rows) < 1 or not 0 < self.percent <= 100:
@@ -59,8 +60,21 @@ class NearDedup:
     def buckets(self, values: np.ndarray) -> np.ndarray:
         return buckets(self.signature(values), self.bands, self.rows)
 
-    def apart_buckets(self, values: np.ndarray) -> np.ndarray:
-        return buckets(minima(values, self.apart_bands * self.apart_rows), self.apart_bands, self.apart_rows)
+    def apart_sketch(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the second sketch, and the two lowest bits of all its minima as 64-bit words."""
+        low = minima(values, self.apart_bands * self.apart_rows)
+        bits = np.packbits(np.stack([low & 1, low >> 1 & 1]).astype(bool))
+        return buckets(low, self.apart_bands, self.apart_rows), np.pad(bits, (0, -len(bits) % 8)).view(np.int64)
+
+    @property
+    def apart_words(self) -> int:
+        return -(-2 * self.apart_bands * self.apart_rows // 64)
+
+    @property
+    def most_bits(self) -> int:
+        """More differing bits than these rule a pair out; minima that differ differ in each bit with probability 1/2."""
+        n, d = self.apart_bands * self.apart_rows, 1 - self.percent / 100
+        return math.ceil(n * d + self.slack * (n * (1.5 * d - d * d)) ** 0.5)
 
 
 def minima(values: np.ndarray, n: int) -> np.ndarray:
@@ -117,15 +131,15 @@ def _whole_sets(docs: DataFrame, p: NearDedup) -> DataFrame:
     return docs.mapInArrow(run, "id long, sig binary, items binary")
 
 
-def _apart_bands(docs: DataFrame, p: NearDedup) -> DataFrame:
-    """``(rep, bucket)`` of the second sketch of each text given."""
+def _apart_sketches(docs: DataFrame, p: NearDedup) -> DataFrame:
+    """``(rep, buckets, bits)`` of each text given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = pa.array([p.apart_buckets(s) for s in _sets(batch, p.shingle)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["rep", "buckets"])
+            rows = [p.apart_sketch(s) for s in _sets(batch, p.shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in range(2))], ["rep", "buckets", "bits"])
 
-    return docs.mapInArrow(run, "rep long, buckets array<long>").select("rep", F.explode("buckets").alias("bucket"))
+    return docs.mapInArrow(run, "rep long, buckets array<long>, bits array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
@@ -150,18 +164,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(run, "u long, v long").distinct()
 
 
-def _across(band: DataFrame, p: NearDedup) -> DataFrame:
-    """Pairs ``(a, b)`` of ``band(bucket, rep, n, component)`` that share a bucket but no component.
+def _across(sketch: DataFrame, p: NearDedup) -> DataFrame:
+    """Pairs ``(a, b)`` of ``sketch(rep, n, component, buckets, bits)`` that share a bucket but no component and whose bits agree enough.
 
     In a bucket, those outside the component of its least member meet all that
     are not in their own; those inside it don't meet each other.
     """
-    band = written(band, "bands")
-    first = written(band.groupBy("bucket").agg(F.min(F.struct("rep", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket", F.col("hub.component").alias("main")), "mains")
-    mixed = written(band.join(first, "bucket"), "mixed")
-    x = mixed.where("component != main").select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c"))
-    y = mixed.select("bucket", F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_c"), (F.col("component") == F.col("main")).alias("near"))
-    return x.join(y, "bucket").where("x_c != y_c and (near or x < y) and " + _sizes_allow("x_n", "y_n", p)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    band = sketch.select("rep", "component", F.explode("buckets").alias("bucket"))
+    first = band.groupBy("bucket").agg(F.min(F.struct("rep", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    mixed = written(band.join(written(first.select("bucket", F.col("hub.component").alias("main")), "mains"), "bucket").join(sketch.select("rep", "n", "bits"), "rep"), "mixed")
+    x = mixed.where("component != main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "component", "bits")))
+    y = mixed.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "component", "bits")), (F.col("component") == F.col("main")).alias("near"))
+    differ = " + ".join(f"bit_count(x_bits[{i}] ^ y_bits[{i}])" for i in range(p.apart_words))
+    able = f"x_component != y_component and (near or x_rep < y_rep) and {_sizes_allow('x_n', 'y_n', p)} and {differ} <= {p.most_bits}"
+    return x.join(y, "bucket").where(able).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def _sizes_allow(a: str, b: str, p: NearDedup) -> str:
@@ -199,7 +215,8 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     split = written(part(members.where("rep != hub")).join(hub_part, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub")), "split")
     mixed = split.where("component != hub_component").select("bucket").distinct()
     rest = written(split.join(mixed, "bucket", "left_semi").select("rep", "n", "component").distinct(), "rest")
-    more = written(_across(_apart_bands(docs.join(rest.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text"), p).join(rest, "rep"), p).join(pairs, ["a", "b"], "left_anti"), "more_pairs")
+    again = docs.join(rest.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    more = written(_across(written(_apart_sketches(again, p).join(rest, "rep"), "again"), p).join(pairs, ["a", "b"], "left_anti"), "more_pairs")
     if not more.isEmpty():
         extra = confirm(more)
         if not extra.isEmpty():
