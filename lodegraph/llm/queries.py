@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import chat, decontaminate, langid, minhash, pieces, png, secrets, warc
+from lodegraph.llm import chat, decontaminate, langid, minhash, pieces, pii, png, secrets, warc
 
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -50,6 +50,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.fit(docs))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(spark, warc.archive(_table(spark, sf_dir, "pages")))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontaminate": op6_decontaminate,
+    "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_secret_scan": op10_secret_scan,
