@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import chat, decontaminate, langid, minhash, pieces, pii, png, secrets, warc
+from lodegraph.llm import chat, ctw, decontaminate, langid, minhash, pieces, pii, png, secrets, warc
 
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -31,6 +31,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns, template), template)
 
 
+def op3_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_table(spark, sf_dir, "documents"), langid.held_out(2, 7))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     test = langid.held_out(2, 4)
@@ -72,6 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_chat_format": op2_chat_format,
+    "op3_ctw_score": op3_ctw_score,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontaminate": op6_decontaminate,
