@@ -43,7 +43,7 @@ class NearDedup:
     rows: int = 5
     apart_bands: int = 90
     apart_rows: int = 14
-    slack: float = 5.0
+    slack: float = 4.0
 
     def __post_init__(self) -> None:
         if min(self.shingle, self.bands, self.rows, self.apart_bands, self.apart_rows) < 1 or not 0 < self.percent <= 100:
@@ -131,15 +131,15 @@ def _whole_sets(docs: DataFrame, p: NearDedup) -> DataFrame:
     return docs.mapInArrow(run, "id long, sig binary, items binary")
 
 
-def _apart_sketches(docs: DataFrame, p: NearDedup) -> DataFrame:
-    """``(rep, buckets, bits)`` of each text given."""
+def _apart_sketches(sets: DataFrame, p: NearDedup) -> DataFrame:
+    """``sets(id, items)`` -> ``(rep, buckets, bits)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [p.apart_sketch(s) for s in _sets(batch, p.shingle)]
+            rows = [p.apart_sketch(np.frombuffer(x.as_py(), np.uint64)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in range(2))], ["rep", "buckets", "bits"])
 
-    return docs.mapInArrow(run, "rep long, buckets array<long>, bits array<long>")
+    return sets.select("id", "items").mapInArrow(run, "rep long, buckets array<long>, bits array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
@@ -170,13 +170,14 @@ def _across(sketch: DataFrame, p: NearDedup) -> DataFrame:
     In a bucket, those outside the component of its least member meet all that
     are not in their own; those inside it don't meet each other.
     """
-    band = sketch.select("rep", "component", F.explode("buckets").alias("bucket"))
+    band = sketch.select("rep", "component", F.posexplode("buckets").alias("place", "bucket"))
     first = band.groupBy("bucket").agg(F.min(F.struct("rep", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    mixed = written(band.join(written(first.select("bucket", F.col("hub.component").alias("main")), "mains"), "bucket").join(sketch.select("rep", "n", "bits"), "rep"), "mixed")
-    x = mixed.where("component != main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "component", "bits")))
-    y = mixed.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "component", "bits")), (F.col("component") == F.col("main")).alias("near"))
+    mixed = written(band.join(written(first.select("bucket", F.col("hub.component").alias("main")), "mains"), "bucket").join(sketch.select("rep", "n", "buckets", "bits"), "rep"), "mixed")
+    x = mixed.where("component != main").select("bucket", "place", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "component", "buckets", "bits")))
+    y = mixed.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "component", "buckets", "bits")), (F.col("component") == F.col("main")).alias("near"))
     differ = " + ".join(f"bit_count(x_bits[{i}] ^ y_bits[{i}])" for i in range(p.apart_words))
     able = f"x_component != y_component and (near or x_rep < y_rep) and {_sizes_allow('x_n', 'y_n', p)} and {differ} <= {p.most_bits}"
+    able += " and not exists(slice(zip_with(x_buckets, y_buckets, (a, b) -> a = b), 1, place), z -> z)"  # in the first bucket they share
     return x.join(y, "bucket").where(able).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
@@ -201,12 +202,10 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     members = written(band.join(hubs, "bucket").select("bucket", "rep", "n", "hub", "hub_n"), "members")
     pairs = written(members.where("rep != hub and " + _sizes_allow("n", "hub_n", p)).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = written(_whole_sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), p), "sets")
-        return written(_confirmed(pairs, sets, p), "links")
-
-    links = confirm(pairs)
+    # Merged at every size: a broadcast of the ids would be as large as they are.
+    ids = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    sets = written(_whole_sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), p), "sets")
+    links = written(_confirmed(pairs, sets, p), "links")
     parts = written(connected_components(links), "parts")
     # Members of a band that the meetings with its least left in other components meet all that are not in theirs.
     label = parts.select(F.col("node").alias("rep"), "component")
@@ -215,10 +214,10 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     split = written(part(members.where("rep != hub")).join(hub_part, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub")), "split")
     mixed = split.where("component != hub_component").select("bucket").distinct()
     rest = written(split.join(mixed, "bucket", "left_semi").select("rep", "n", "component").distinct(), "rest")
-    again = docs.join(rest.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    again = sets.join(rest.select(F.col("rep").alias("id")), "id", "left_semi")
     more = written(_across(written(_apart_sketches(again, p).join(rest, "rep"), "again"), p).join(pairs, ["a", "b"], "left_anti"), "more_pairs")
     if not more.isEmpty():
-        extra = confirm(more)
+        extra = written(_confirmed(more, sets, p), "links")
         if not extra.isEmpty():
             parts = written(connected_components(links.unionByName(extra)), "parts")
     found = classes.select("set_key", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
