@@ -240,4 +240,4 @@ def _joined_ids(out: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """The rows of ``docs``, all columns, that near_duplicates keeps; of rows that repeat a kept doc_id all stay."""
     kept = near_duplicates(docs, p).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(written(kept, "kept"), docs["doc_id"].cast("long") == F.col("_kept_id"), "left_semi"))
+    return docs.where("doc_id is null").unionByName(docs.join(written(kept, "kept").hint("merge"), docs["doc_id"].cast("long") == F.col("_kept_id"), "left_semi"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodegraph.llm import chat, ctw, decontaminate, langid, minhash, pieces, pii, png, secrets, warc
+from lodegraph.llm.scratch import bounded_batches
 
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -14,6 +15,7 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
