@@ -3,6 +3,7 @@
 Patterns find candidates.  Each candidate's hash is then aggregated over the
 whole corpus by distinct repository and distinct owner: a value that many
 owners have is a copied example, one that stays with its owner looks live.
+Column names that begin with ``_ll_`` are reserved.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b, *_ in sorted(spans, key=lambda s: (s[1], s[0])))
 
 
-def candidates(docs: DataFrame, keep: list[str] | None = None, found: str = "found", least_bits: float = 3.7) -> DataFrame:
+def candidates(docs: DataFrame, keep: list[str] | None = None, found: str = "_ll_found", least_bits: float = 3.7) -> DataFrame:
     """Columns ``keep`` (all) of ``docs`` and one of the candidate spans of ``text``: kind (index into KINDS), start, end, SHA-256 of the value."""
     keep = docs.columns if keep is None else keep
     names, at = docs.columns, docs.columns.index("text")
@@ -83,15 +84,15 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def _judged(marked: DataFrame, max_owners: int) -> DataFrame:
-    """``marked(_row, _repo, _owner, found)`` -> ``(_row, _spans)`` for the rows that have spans."""
-    each = marked.select("_row", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), F.explode("found").alias("f")).select("_row", "repo", "owner", "f.*")
+    """``marked(_ll_row, _ll_repo, _ll_owner, _ll_found)`` -> ``(_ll_row, _ll_spans)`` for the rows that have spans."""
+    each = marked.select("_ll_row", F.col("_ll_repo").alias("repo"), F.col("_ll_owner").alias("owner"), F.explode("_ll_found").alias("f")).select("_ll_row", "repo", "owner", "f.*")
     stats = written(ownership(each), "ownership")
     judged = each.join(stats, "hash").withColumn("live", F.col("owners") <= max_owners).where(f"kind < {len(BASE)} or live")
-    return written(judged.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("_spans")), "spans")
+    return written(judged.groupBy("_ll_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("_ll_spans")), "spans")
 
 
 def scan(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, max_owners: int = 2, keep: list[str] | None = None) -> DataFrame:
-    """Each row of ``docs``, columns ``keep`` (all), with ``_spans``: array of (start, kind, end, live), null where there are none.
+    """Each row of ``docs``, columns ``keep`` (all), with ``_ll_spans``: array of (start, kind, end, live), null where there are none.
 
     ``repo`` and ``owner`` say where a document comes from (both default to
     ``source``).  ``live`` is true where ``max_owners`` owners or fewer have
@@ -100,11 +101,11 @@ def scan(docs: DataFrame, repo: Column | None = None, owner: Column | None = Non
     """
     repo, owner = (F.col("source") if c is None else c for c in (repo, owner))
     keep = docs.columns if keep is None else keep
-    origin = docs.withColumns({"_repo": repo.cast("string"), "_owner": owner.cast("string")})
-    marked = written(candidates(origin, [*keep, "_repo", "_owner"]).withColumn("_row", F.monotonically_increasing_id()), "secrets")
+    origin = docs.withColumns({"_ll_repo": repo.cast("string"), "_ll_owner": owner.cast("string")})
+    marked = written(candidates(origin, [*keep, "_ll_repo", "_ll_owner"]).withColumn("_ll_row", F.monotonically_increasing_id()), "secrets")
     spans = _judged(marked, max_owners)
-    hit = marked.where(F.size("found") > 0).join(spans, "_row", "left").select(*keep, "_spans")
-    return hit.unionByName(marked.where(F.size("found") == 0).select(*keep, F.lit(None).cast(spans.schema["_spans"].dataType).alias("_spans")))
+    hit = marked.where(F.size("_ll_found") > 0).join(spans, "_ll_row", "left").select(*keep, "_ll_spans")
+    return hit.unionByName(marked.where(F.size("_ll_found") == 0).select(*keep, F.lit(None).cast(spans.schema["_ll_spans"].dataType).alias("_ll_spans")))
 
 
 def report(docs: DataFrame, max_owners: int = 2) -> DataFrame:
@@ -143,8 +144,8 @@ def redacted(docs: DataFrame, max_owners: int = 2, mark: str = "[SECRET]") -> Da
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out)
 
-    live = F.coalesce(F.exists("_spans", lambda s: s["live"]), F.lit(False))
-    hit = found.where(live).withColumn("text", without("text", "_spans"))
+    live = F.coalesce(F.exists("_ll_spans", lambda s: s["live"]), F.lit(False))
+    hit = found.where(live).withColumn("text", without("text", "_ll_spans"))
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return found.where(~live).select(docs.columns).unionByName(hit.select(docs.columns))
