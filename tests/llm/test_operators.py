@@ -260,7 +260,7 @@ def test_ownership_separates_copied_from_live(spark):
 
 def test_personal_data(spark):
     first = "Mail ann7.lee@example.com or +1 (375) 555-4393 now."
-    rows = [(1, first + " Later (375) 555-4393 again, and ann7.lee wrote; version 3.1 of 10.0.0.1 and 999.1.1.1", None, "s"), (2, "card 4111 1111 1111 1111 yes, 4111 1111 1111 1112 no", None, "s")] + [(10 + i, f"Reach x{i}.y@mail.example.org, +1 (20{i}) 555-010{i} at 10.1.{i}.2", None, "s") for i in range(9)]
+    rows = [(1, first + " Later (375) 555-4393 again, and ann7.lee wrote; version 3.1 of 10.0.0.1 and 999.1.1.1", None, "s"), (2, "card 4111 1111 1111 1111 yes, 4111 1111 1111 1112 no", None, "s")] + [(10 + i, f"Reach x{i}.y@mail.example.org, +1 (20{i}) 555-010{i} at 10.1.{i}.2; x{i}.y@mail.example.org, +1 (20{i}) 555-010{i} it is", None, "s") for i in range(9)]
     docs = table(spark, rows)
     out = {r["doc_id"]: r for r in pii.report(docs, pii.fit(docs)).collect()}
     assert [out[1][f"n_{k}"] for k in pii.KINDS] == [1, 1, 0, 1] and out[2]["n_card"] == 1
@@ -268,7 +268,12 @@ def test_personal_data(spark):
     base = f"email:5:25,ip:{at}:{at + 8},phone:29:46"
     assert out[1]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
     spans = [s.split(":") for s in out[1]["spans"].split(",")]
-    assert {"ann7.lee", "555-4393"} <= {rows[0][1][int(a) : int(b)][-8:] for _, a, b in spans} and out[1]["n_added"] >= 2
+    assert "375) 555-4393" in {rows[0][1][int(a) : int(b)] for _, a, b in spans} and out[1]["n_added"] >= 1
+    unary = np.zeros((pii._SHAPES, pii.LABELS))
+    unary[:, pii.OTHER] = 1
+    same = 3 * np.eye(pii.LABELS)
+    text = rows[0][1]
+    assert {text[a:b] for _, a, b in pii.added_spans([text], [pii.base_spans(text)], pii.Field(unary, same, same))[0]} == {"375) 555-4393", "ann7.lee"}
     assert set(base.split(",")) <= set(out[1]["spans"].split(","))
     odd = pii.report(table(spark, AWKWARD), pii.fit(table(spark, AWKWARD))).collect()
     assert len(odd) == len(AWKWARD) and all(r["spans"] == "" for r in odd)
