@@ -448,3 +448,181 @@ def sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     server.submit(ops("a"), 1)
     server.submit(ops("b").unionByName(ops("a").limit(5)), 2)
     return feed.activation_totals(server.ops()).withColumn("delta", _r("delta"))
+
+
+# Further operators of the same groups
+
+@query("SELECT greatest(0, least(count(*) - 10, 25)) AS n FROM part")
+def count_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = graph(spark, sf_dir, "part").query().offset(10).limit(25).count()
+    return spark.createDataFrame([(n,)], "n bigint")
+
+
+@query("SELECT 'part:' || p_partkey AS id FROM part ORDER BY p_retailprice, p_partkey LIMIT 1")
+def first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(graph(spark, sf_dir, "part").query().order_by("p_retailprice").first()["id"],)], "id string")
+
+
+@query("SELECT 'part:' || p_partkey AS id FROM part WHERE p_size > 10 AND p_size < 20 AND p_retailprice > 920 ORDER BY p_size DESC, p_partkey LIMIT 30")
+def plan_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodegraph.operators.query import GraphQuery
+
+    attributes = [{"field": "p_size", "operator": "range", "above": 10}, {"field": "p_size", "operator": "range", "below": 20}, {"field": "p_retailprice", "operator": "range", "above": 920}]
+    plan = {"nodeTypes": ["part"], "attributes": attributes, "order": {"field": "p_size", "direction": "desc"}, "limit": 30}
+    return GraphQuery.from_plan(graph(spark, sf_dir, "part"), plan).ids()
+
+
+@query("SELECT 'customer:' || o_custkey AS source, 'order:' || o_orderkey AS target FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)")
+def edges_by_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir, "customer", "orders")
+    return g.edges_by(g.nodes.where("data.c_nationkey = 7"), "source", "PLACED").select("source", "target")
+
+
+@query("SELECT 'part:' || l_partkey AS id, count(*) AS n FROM lineitem WHERE l_orderkey = 5 GROUP BY 1")
+def edge_targets_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir, "orders", "part", "lineitem").targets("order:5", "CONTAINS").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT 'order:' || l_orderkey AS id FROM lineitem WHERE l_partkey = 5")
+def edge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir, "orders", "part", "lineitem").sources("part:5", "CONTAINS")
+
+
+@query("""SELECT 'order:' || o_orderkey AS id, 0.5::DOUBLE AS spread FROM orders WHERE o_custkey = 4 UNION ALL
+SELECT DISTINCT 'part:' || l_partkey, 0.25::DOUBLE FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 4""")
+def spread_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir, "customer", "orders", "part", "supplier", "lineitem")
+    return Activation().spread(g, g.nodes.where("id = 'customer:4'"), edge_types=["PLACED", "CONTAINS"]).select("id", "spread")
+
+
+@query(f"""WITH {_EVENTS} SELECT 'event:' || event_id AS id, round(0.5 + pow(0.5::DOUBLE, ({_CLOCK} - t) / {float(7 * S.DAY)}) + s / 2, 6) AS total FROM e""")
+def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = graph(spark, sf_dir, "events").nodes.where("type = 'event'")
+    return Activation().breakdown(n, _clock(spark, sf_dir), F.lit(0.5), F.lit(None).cast("double")).select("id", _r("total").alias("total"))
+
+
+@query(f"""WITH {_EVENTS} SELECT 'event:' || event_id AS id, round(CASE WHEN event_type = 'view' THEN 0.4 ELSE {_DECAYED.format(now=_CLOCK)} END, 6) AS effective FROM e WHERE event_type <> 'error'""")
+def effective_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, now = graph(spark, sf_dir, "events"), _clock(spark, sf_dir)
+    views = g.nodes.where("data.event_type = 'view'").select("id", F.lit(0.4).alias("delta"))
+    seen = activation.reinforce(g, views, now, context="work").nodes.where("type = 'event' and data.event_type != 'error'")
+    return Activation().effective(seen, now, "work").select("id", _r("effective").alias("effective"))
+
+
+@query("SELECT 'region:' || r_regionkey AS id, CAST(ceil(length(to_json({'id': 'region:' || r_regionkey, 'type': 'region', 'data': {'r_regionkey': r_regionkey, 'r_name': r_name}})) / 4.0) AS BIGINT) AS tokens FROM region")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = graph(spark, sf_dir, "region").nodes
+    return n.select("id", scalar.estimate_tokens(F.col("id"), F.col("type"), F.col("data")).alias("tokens"))
+
+
+@query("SELECT 'event:' || event_id AS id FROM events ORDER BY floor(epoch_us(ts) / 1000.0) DESC, event_id DESC LIMIT 100")
+def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir, "events")
+    return mutate.prune(Graph(g.nodes.where("type = 'event'"), g.edges.limit(0)), 100)[0].nodes.select("id")
+
+
+@query("SELECT 'item:' || vec_id AS id, label = 3 AS removed FROM embeddings")
+def remove_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir, "embeddings")
+    out = mutate.set_vectors(g, g.nodes.where("data.label = 3").select("id", F.lit(None).cast("array<double>").alias("vector")))
+    return out.nodes.select("id", F.col("vector").isNull().alias("removed"))
+
+
+@query("SELECT count(*) AS edges FROM orders")
+def add_known_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adding edges whose ids exist changes nothing."""
+    g = graph(spark, sf_dir, "customer", "orders")
+    return mutate.add_edges(g, g.edges, NOW).edges.agg(F.count("*").alias("edges"))
+
+
+@query("SELECT 'customer:' || c_custkey AS source, CASE WHEN c_nationkey = 2 THEN 'home' ELSE 'abroad' END AS kind FROM customer")
+def update_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir, "customer", "nation")
+    g = Graph(g.nodes, g.edges.withColumn("data", F.struct(F.lit("abroad").alias("kind"), F.lit(1).alias("weight"))))
+    out = mutate.update_edges(g, g.edges.where("target = 'nation:2'").select("id", F.lit("home").alias("kind")))
+    return out.edges.select("source", F.col("data.kind").alias("kind"))
+
+
+@query("SELECT 'customer' AS type, count(*) AS count FROM customer")
+def delete_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutate.delete_by_type(graph(spark, sf_dir, "customer", "nation"), "nation")[0].nodes.groupBy("type").count()
+
+
+@query("SELECT 'nation:' || n_nationkey AS id, CASE WHEN n_nationkey = 1 THEN 'nation:0' END AS supersedes, CASE WHEN n_nationkey = 0 THEN 1.0::DOUBLE END AS inhibition FROM nation")
+def supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mutate.supersede(graph(spark, sf_dir, "nation"), "nation:1", "nation:0", NOW)
+    return out.nodes.select("id", "supersedes", F.col("activation.inhibition").alias("inhibition"))
+
+
+@query("SELECT 'summary' AS source, 'nation:' || n_nationkey AS target FROM nation WHERE n_nationkey < 3")
+def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir, "nation")
+    new = g.nodes.where("id = 'nation:0'").withColumn("id", F.lit("summary"))
+    return mutate.consolidate(g, new, ["nation:0", "nation:1", "nation:2"], NOW).edges.where("type = 'CONSOLIDATES'").select("source", "target")
+
+
+@query("SELECT 'customer:' || c_custkey AS id FROM customer WHERE NOT c_acctbal > 0")
+def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = mutate.NodeSchema("customer", ("c_name",), {"c_acctbal": "number", "c_name": "string"}, F.col("data.c_acctbal") > 0)
+    return rule.violations(graph(spark, sf_dir, "customer").nodes).select("id")
+
+
+@query("SELECT 'customer:' || c_custkey || '::IN_NATION::nation:' || c_nationkey AS id, 'source type' AS problem FROM customer")
+def endpoint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutate.EdgeSchema("IN_NATION", source_types=("supplier",), target_types=("nation",)).violations(graph(spark, sf_dir, "customer", "nation"))
+
+
+@query("SELECT count(*) + 1 AS nodes FROM nation")
+def transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One transaction commits, one that fails leaves the graph as it was."""
+    g = graph(spark, sf_dir, "nation")
+    new = g.nodes.where("id = 'nation:0'").withColumn("id", F.lit("nation:new"))
+    with mutate.Transaction(g) as t:
+        t.graph = mutate.upsert_nodes(t.graph, new, NOW)
+    kept = t.graph
+    try:
+        with mutate.Transaction(kept) as t:
+            t.graph = mutate.delete_by_type(t.graph, "nation")[0]
+            raise S.Conflict("rolled back")
+    except S.Conflict:
+        pass
+    return t.graph.nodes.agg(F.count("*").alias("nodes"))
+
+
+@query("SELECT 'customer:' || c_custkey AS id, CASE WHEN c_custkey <= 20 THEN 1.5 ELSE c_acctbal END AS balance FROM customer WHERE c_custkey <= 100")
+def store_compact_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copy = _stored(spark, sf_dir).copy_to(_folder(spark, "backup"))
+    copy.compact(0)
+    return copy.load().nodes.where("type = 'customer'").select("id", F.col("data.c_acctbal").alias("balance"))
+
+
+@query("SELECT CAST(2 AS BIGINT) AS sequence, 'drop' AS operation_id")
+def log_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stored(spark, sf_dir)
+    store.retain(NOW, max_entries=1)
+    return store.log().select("sequence", "operation_id")
+
+
+@query("SELECT 'item:' || vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings")
+def vector_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, _folder(spark, "store"))
+    store.save(graph(spark, sf_dir, "embeddings"))
+    store.to_precision("float")
+    return store.load().nodes.select("id", _r(F.col("vector")[0]).alias("first"))
+
+
+@query("SELECT 'putNode' AS op, count(*) AS n FROM customer WHERE c_custkey <= 20 UNION ALL SELECT 'deleteNode', count(*) FROM customer WHERE c_custkey > 100")
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log read as a stream, its changes written once each."""
+    store, out = _stored(spark, sf_dir), _folder(spark, "changes")
+    stream = feed.changes(feed.read_log(spark, store.path)).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("sequence bigint, timestamp bigint, op string, id string, revision bigint").parquet(out).groupBy("op").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS seq, rank AS cursor FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rank FROM events WHERE event_type = 'signup') WHERE rank > 5 AND rank <= 15")
+def sync_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'")
+    server = feed.SyncServer(spark, _folder(spark, "sync"), max_batch=10)
+    server.submit(own.select(F.lit("a").alias("client_id"), F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("operation_id"), F.lit(None).cast("string").alias("transaction_id"), F.lit(NOW).cast("long").alias("timestamp"), F.lit("addNode").alias("kind"), F.lit("{}").alias("payload")), 0)
+    return server.since(5, "b").select("seq", "cursor")
