@@ -82,7 +82,7 @@ def minima(values: np.ndarray, n: int) -> np.ndarray:
     seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64))
     a, b = seeds[0::2] | np.uint64(1), seeds[1::2]
     low = np.full(n, 0xFFFFFFFF, np.uint64)
-    step = max(1, (1 << 20) // n)
+    step = max(1, (1 << 18) // n)
     for i in range(0, len(values), step):
         block = values[i : i + step, None] * a
         block += b

@@ -23,7 +23,7 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Bytes of text worked on at once; a single longer text is worked on whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _power(n: int) -> list[np.ndarray]:
