@@ -1,4 +1,4 @@
-"""The reference operators over the test tables: ``QUERIES``, and their DuckDB equivalents in ``ORACLE_SQL``."""
+"""The graph operators over the test tables: ``QUERIES``, and their DuckDB equivalents in ``ORACLE_SQL``."""
 
 from __future__ import annotations
 

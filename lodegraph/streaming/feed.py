@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from lodegraph import schema as S
 from lodegraph.operators import activation
@@ -100,7 +101,7 @@ class SyncServer:
     def _table(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/*")
-        except Exception:  # nothing has been written yet
+        except AnalysisException:  # nothing has been written yet
             return self.spark.createDataFrame([], schema)
 
     def ops(self) -> DataFrame:
@@ -129,7 +130,6 @@ class SyncServer:
         start = self.latest()
         # The cursor is one order for all clients; a batch is what one trigger brings, bounded by the source's rate.
         numbered = fresh.withColumn("cursor", (F.row_number().over(Window.orderBy("timestamp", "client_id", "seq")) + start).cast("bigint"))
-        ids = numbered.select(F.explode(F.concat("_ids", F.array_compact(F.array("_tx")))).alias("identity")).distinct()
         numbered.select("cursor", *batch.columns).write.mode("ignore").parquet(name)
         done = self.spark.read.schema(f"cursor bigint, {OPS}").parquet(name)
         done_tx = F.when(F.col("transaction_id").isNotNull(), F.concat_ws(":", F.lit("t"), "client_id", "transaction_id"))
