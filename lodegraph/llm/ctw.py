@@ -6,12 +6,13 @@ with each byte decomposed into eight binary decisions.  A node is a context of
 Krichevsky-Trofimov and is mixed with its longer contexts by the weight that
 the training corpus gave it.  A text's code length is the sum over its bytes.
 
-Counting, the bottom-up weights and the word counts of the base score are
-Spark aggregations.  What scoring needs of the model is bounded: nodes seen
-``least_count`` times or more, and if these are more than ``max_nodes``, those
-of twice the count, and so on.  The vocabulary isn't bounded and is not
-broadcast: each chunk of documents, numbered as it is read, gets the counts of
-its own words by a join; words then travel as places in the chunk's dictionary.
+Nothing of the tree is cut, gathered or broadcast.  Distinct windows are dealt
+by ranges of the context one byte short of the longest, of which each has at
+most 65,536 windows, and the two longest context lengths are worked out there.
+Shorter ones follow level by level, each an aggregation by the next shorter
+context.  The nodes of a window are joined to it from the root down, and its
+probability joins the chunk of documents that holds it, numbered as it is read;
+so do the counts of the chunk's words.
 """
 
 from __future__ import annotations
@@ -29,14 +30,15 @@ from lodegraph.llm.scratch import written
 from lodegraph.llm.words import pieces, utf8, words
 
 _U = np.uint64
-_WORD, _DOC = 0, 1
+_WORD, _WINDOW, _DOC = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Ctw:
+    """Contexts of up to ``depth`` bytes; those seen less often than ``least_count`` leave it to shorter ones."""
+
     depth: int = 5
-    least_count: int = 2
-    max_nodes: int = 2_500_000
+    least_count: int = 1
 
     def __post_init__(self) -> None:
         if not 2 <= self.depth <= 6:
@@ -111,40 +113,176 @@ def weigh(nodes: list[_Level], longer: list[_Level] | None, d: int) -> None:
             x.log_w = np.logaddexp(kt, below) - math.log(2)
 
 
-_NODES = "depth int, bits int, node long, zeros long, ones long, weight double, log_w double"
+def _mask(n_bytes: int) -> np.uint64:
+    return _U((1 << (8 * n_bytes)) - 1)
 
 
-def _rows(nodes: list[_Level], d: int) -> Iterator[pa.RecordBatch]:
-    for i, x in enumerate(nodes):
-        n = len(x.group)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, i, np.int32)), pa.array(x.group.view(np.int64)), pa.array(x.zeros), pa.array(x.ones), pa.array(x.weight), pa.array(x.log_w)],
-            ["depth", "bits", "node", "zeros", "ones", "weight", "log_w"])
+def _firsts(keys: np.ndarray, i: int) -> np.ndarray:
+    """Places of sorted ``keys`` at which a node of ``i`` bits begins."""
+    group = keys >> _U(8 - i)
+    return np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+
+
+def _own_bit(keys: np.ndarray, i: int, x: _Level, at: np.ndarray, p: Ctw) -> np.ndarray:
+    """What nodes ``at`` of a level say to bit ``i`` of each key; NaN where they are seen too rarely."""
+    n = (x.zeros + x.ones)[at]
+    seen = np.where((keys >> _U(7 - i)) & _U(1) != 0, x.ones[at], x.zeros[at])
+    return np.where(n >= max(1, p.least_count), (seen + 0.5) / (n + 1), np.nan)
+
+
+def _whole_contexts(batches: Iterator[pa.RecordBatch], context_bytes: int, rows: int = 400_000) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that come context by context, about ``rows`` at once and no context apart, sorted by key."""
+    held: list[list[np.ndarray]] = []
+
+    def cut(last: bool) -> Iterator[list[np.ndarray]]:
+        whole = [np.concatenate(c) for c in zip(*held)]
+        held.clear()
+        context = (whole[0].view(_U) >> _U(8)) & _mask(context_bytes)
+        end = len(context) if last else int(np.flatnonzero(context != context[-1])[-1]) + 1 if (context != context[-1]).any() else 0
+        if end < len(context):
+            held.append([c[end:] for c in whole])
+        if end:
+            order = np.argsort(whole[0][:end].view(_U))
+            yield [c[:end][order] for c in whole]
 
+    size = 0
+    for batch in batches:
+        if len(batch):
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += len(batch)
+            if size > rows:
+                yield from cut(False)
+                size = 0
+    if held:
+        yield from cut(True)
 
-def tree(windows: DataFrame, p: Ctw) -> DataFrame:
-    """``windows(key, n)`` -> nodes of context lengths 2 and up: all windows of a two-byte context stand in one partition."""
+
+_UP = ", ".join(f"b{i} double" for i in range(8))
+
+
+def _deep(windows: DataFrame, p: Ctw) -> DataFrame:
+    """``windows(key, n)`` -> the two longest context lengths.
+
+    Rows with ``q``: of each window the probabilities of its eight bits by
+    these nodes, NaN where there are none.  Rows without: for each context two
+    bytes shorter than the longest, and byte, its count and the summed log
+    probabilities of the longer nodes, each put to the first byte under it.
+    """
+    size = p.depth - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if len(b)]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        keys, counts = table.column(0).to_numpy().view(_U), table.column(1).to_numpy()
-        longer = None
-        for d in range(p.depth, 1, -1):
-            keys, counts = _summed(keys & _U((1 << (8 * (d + 1))) - 1), counts)
-            nodes = levels(keys, counts, d)
-            weigh(nodes, longer, d)
-            yield from _rows(nodes, d)
-            longer = nodes
-
-    return windows.select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))).mapInArrow(run, _NODES)
+        for signed, counts in _whole_contexts(batches, size):
+            keys = signed.view(_U)
+            long = levels(keys, counts, p.depth)
+            weigh(long, None, p.depth)
+            near, n = _summed(keys & _mask(p.depth), counts)
+            short = levels(near, n, size)
+            weigh(short, long, size)
+            q = np.empty((len(keys), 8), np.float32)
+            up = np.zeros((8, len(near)))
+            for i in range(8):
+                mine = _own_bit(keys, i, long[i], np.searchsorted(long[i].group, keys >> _U(8 - i)), p)
+                at = np.searchsorted(short[i].group, (keys & _mask(p.depth)) >> _U(8 - i))
+                above, w = _own_bit(keys, i, short[i], at, p), short[i].weight[at]
+                q[:, i] = np.where(np.isnan(mine), above, w * above + (1 - w) * mine)
+                up[i, _firsts(near, i)] = short[i].log_w
+            parent = near & _mask(size)
+            order = np.argsort(parent, kind="stable")
+            parent = parent[order]
+            first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+            for a in range(0, len(keys), 50_000):
+                part = q[a : a + 50_000]
+                packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.arange(0, 32 * len(part) + 1, 32, dtype=np.int32)), pa.py_buffer(part.tobytes())])
+                none = pa.nulls(len(part), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(signed[a : a + 50_000]), pa.nulls(len(part), pa.int64()), packed, *[none] * 8], names)
+            sums = [pa.array(np.add.reduceat(x[order], first)) for x in up]
+            yield pa.RecordBatch.from_arrays([pa.array(parent[first].view(np.int64)), pa.array(np.add.reduceat(n[order], first)), pa.nulls(len(first), pa.binary()), *sums], names)
+
+    names = ["key", "n", "q", *(f"b{i}" for i in range(8))]
+    # The byte nearest to the coded one leads, so that a range holds neighbours in the tree.
+    order = F.expr(" | ".join(f"(((key >> {8 * (j + 1)}) & 255) << {8 * (size - 1 - j)})" for j in range(size)))
+    return windows.select("key", "n", order.alias("o")).repartitionByRange("o").sortWithinPartitions("o").select("key", "n").mapInArrow(run, f"key long, n long, q binary, {_UP}")
+
+
+def _level(rows: DataFrame, d: int, p: Ctw) -> DataFrame:
+    """``(key, n, b0..b7)`` of context length d -> the same for its parents, not yet summed, with each key's ``own``.
+
+    own: for the key's eight bits, what the nodes say (NaN: seen too rarely), then their weights.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for signed, n, *below in _whole_contexts(batches, d):
+            keys = signed.view(_U)
+            own, up = np.empty((len(keys), 16)), np.zeros((8, len(keys)))
+            for i, x in enumerate(levels(keys, n, d)):
+                first = _firsts(keys, i)
+                kt, longer = log_kt(x.zeros, x.ones), np.add.reduceat(below[i], first)
+                weight = 1 / (1 + np.exp(np.clip(longer - kt, -700, 700)))
+                up[i, first] = np.logaddexp(kt, longer) - math.log(2)
+                at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+                own[:, i], own[:, 8 + i] = _own_bit(keys, i, x, at, p), weight[at]
+            yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array(n), pa.array([x.tobytes() for x in own], pa.binary()), *map(pa.array, up)], ["key", "n", "own", *(f"b{i}" for i in range(8))])
+
+    context = F.shiftright("key", 8)
+    return rows.repartition(context).sortWithinPartitions(context).mapInArrow(run, f"key long, n long, own binary, {_UP}")
+
+
+def _joined_floats(column: pa.Array, width: int, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _lengthened(path: DataFrame, level: DataFrame, d: int) -> DataFrame:
+    """``(key, path)`` of context length d from those of d - 1 and the nodes of length d.
+
+    A path, for eight bits: the probability so far, the share left for longer contexts, what the longest node seen says.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, so_far = _joined_floats(batch.column(1), 16, float), _joined_floats(batch.column(2), 24, float)
+            says, weight, done, left, last = own[:, :8], own[:, 8:], so_far[:, :8], so_far[:, 8:16], so_far[:, 16:]
+            live = ~np.isnan(says)
+            out = np.concatenate([np.where(live, done + left * weight * says, done), np.where(live, left * (1 - weight), left), np.where(live, says, last)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in out], pa.binary())], ["key", "path"])
+
+    if d == 0:
+        start = np.concatenate([np.zeros(8), np.ones(8), np.full(8, 0.5)]).tobytes()
+        both = level.select("key", "own", F.lit(bytearray(start)).alias("path"))
+    else:
+        short = path.withColumnRenamed("key", "short")
+        both = level.select("key", "own").join(short, F.col("key").bitwiseAND(F.lit(int(_mask(d)))) == F.col("short")).select("key", "own", "path")
+    return both.mapInArrow(run, "key long, path binary")
+
+
+def window_scores(windows: DataFrame, p: Ctw) -> DataFrame:
+    """``windows(key, n)`` -> ``(key, score)``: log10 probability of each window's last byte, by the tree of all of them.
+
+    Windows of which n is 0 are scored and not learned from.
+    """
+    deep = written(_deep(windows, p), "deep")
+    sums = [F.sum("n").alias("n"), *(F.sum(f"b{i}").alias(f"b{i}") for i in range(8))]
+    rows, own = deep.where("q is null").groupBy("key").agg(*sums), {}
+    for d in range(p.depth - 2, -1, -1):
+        own[d] = written(_level(rows, d, p), "level")
+        rows = own[d].groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(d)))).alias("key")).agg(*sums)
+    path = None
+    for d in range(p.depth - 1):
+        path = written(_lengthened(path, own[d], d), "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, so_far = _joined_floats(batch.column(1), 8, np.float32), _joined_floats(batch.column(2), 24, float)
+            total = so_far[:, :8] + so_far[:, 8:16] * np.where(np.isnan(q), so_far[:, 16:], q)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log10(total).sum(axis=1))], ["key", "score"])
+
+    both = deep.where("q is not null").join(path.withColumnRenamed("key", "short"), F.col("key").bitwiseAND(F.lit(int(_mask(p.depth - 1)))) == F.col("short"))
+    return both.select("key", "q", "path").mapInArrow(run, "key long, score double")
 
 
 @dataclass
 class Model:
-    """By context length and number of bits: nodes (context and bits, sorted), probability of a one, weight."""
+    """A whole tree in memory, to hold window_scores against; by context length and number of bits:
+    nodes (context and bits, sorted), probability of a one, weight."""
 
     depth: int
     nodes: list[list[np.ndarray]]
@@ -180,161 +318,72 @@ class Model:
         return out
 
 
-def _short(nodes: DataFrame) -> list[list[_Level]]:
-    """Context lengths 1 and 0, from the nodes of length 2: at most 256 * 255 rows."""
-    mask = F.expr("(CAST(1 AS BIGINT) << (8 + bits)) - 1")
-    rows = nodes.where("depth = 2").groupBy("bits", F.col("node").bitwiseAND(mask).alias("group")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("below")).toPandas().sort_values("group")
-    one, zero = [], []
-    for i in range(8):
-        own = rows[rows["bits"] == i]
-        group, zeros, ones, below = own["group"].to_numpy(np.int64).view(_U), *(own[c].to_numpy(t) for c, t in (("zeros", np.int64), ("ones", np.int64), ("below", float)))
-        kt = log_kt(zeros, ones)
-        one.append(_Level(group, zeros, ones, 1 / (1 + np.exp(np.clip(below - kt, -700, 700))), np.logaddexp(kt, below) - math.log(2)))
-        keys = group & _U((1 << i) - 1)
-        top, zeros0 = _summed(keys, zeros)
-        zero.append(_Level(top, zeros0, _summed(keys, ones)[1]))
-    weigh(zero, one, 0)
-    return [zero, one]
-
-
 def model(windows: DataFrame, p: Ctw) -> Model:
-    """The tree is worked out again for each use: written, its nodes would take several times the windows."""
-    nodes = tree(windows, p)
-    deep = nodes.withColumn("n", F.col("zeros") + F.col("ones"))
-    sizes = {r["k"]: r["count"] for r in deep.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()}
-    least = p.least_count
-    while sum(c for k, c in sizes.items() if 2 ** (k + 1) > least) > p.max_nodes:
-        least *= 2
-    kept = deep.where(F.col("n") >= least).select(F.col("depth").cast("tinyint"), F.col("bits").cast("tinyint"), "node", ((F.col("ones") + 0.5) / (F.col("n") + 1)).cast("float").alias("one"), F.col("weight").cast("float")).toArrow()
-    depth, bits, node, one, weight = (kept.column(c).to_numpy() for c in range(5))
-    out = Model(p.depth, [], [], [])
-    for rows in _short(nodes):
-        out.nodes.append([x.group for x in rows])
-        out.one.append([((x.ones + 0.5) / (x.zeros + x.ones + 1)).astype(np.float32) for x in rows])
-        out.weight.append([x.weight.astype(np.float32) for x in rows])
-    for d in range(2, p.depth + 1):
-        own = [np.flatnonzero((depth == d) & (bits == i)) for i in range(8)]
-        own = [x[np.argsort(node[x])] for x in own]
-        out.nodes.append([node[x].view(_U) for x in own])
-        out.one.append([one[x] for x in own])
-        out.weight.append([weight[x] for x in own])
+    """The tree of few windows, gathered; score doesn't use it."""
+    rows = windows.select("key", "n").toArrow()
+    keys, counts = _summed(rows.column(0).to_numpy().view(_U), rows.column(1).to_numpy())
+    out, longer = Model(p.depth, [], [], []), None
+    for d in range(p.depth, -1, -1):
+        keys, counts = _summed(keys & _mask(d + 1), counts)
+        nodes = levels(keys, counts, d)
+        weigh(nodes, longer, d)
+        kept = [np.flatnonzero(x.zeros + x.ones >= max(1, p.least_count)) for x in nodes]
+        out.nodes.insert(0, [x.group[k] for x, k in zip(nodes, kept)])
+        out.one.insert(0, [((x.ones + 0.5) / (x.zeros + x.ones + 1))[k] for x, k in zip(nodes, kept)])
+        out.weight.insert(0, [x.weight[k] for x, k in zip(nodes, kept)])
+        longer = nodes
     return out
 
 
-def _windows(docs: DataFrame, p: Ctw) -> DataFrame:
-    """``(key, n)``: counts of the windows of ``docs(text)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                key, n = _summed(*(np.concatenate(x) for x in zip(*held)))
-                held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
-
-        for batch in batches:
-            flat, offsets = utf8(batch.column(0))
-            for a, b in pieces(offsets):
-                keys = p.windows(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if len(keys):
-                    keys.sort()
-                    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                    held.append((keys[first], np.diff(np.append(first, len(keys)))))
-                if sum(len(k) for k, _ in held) > 1_500_000:
-                    yield from flush()
-        yield from flush()
-
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _distinct(keys: np.ndarray, count: bool) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[first], np.diff(np.append(first, len(keys))) * count
 
 
-class _Scorer:
-    """Scores texts by the model; remembers the windows it has looked up, about ``cache`` of them.
+_PARTS = "what tinyint, chunk long, key long, n long, doc_id long, held_out boolean, text string"
 
-    New ones gather in a small sorted table that is merged into the large one when it has grown to a quarter of it.
-    """
 
-    def __init__(self, model: Model, p: Ctw, cache: int = 1_500_000) -> None:
-        self.model, self.p, self.cache = model, p, cache
-        self.known = [(np.zeros(0, _U), np.zeros(0))] * 2  # large, small
-
-    @staticmethod
-    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(a[0], b[0])
-        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
-
-    def scores(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        keys = self.p.windows(flat, offsets)
-        fresh = np.sort(keys)
-        fresh = fresh[np.concatenate([[True], fresh[1:] != fresh[:-1]])] if len(fresh) else fresh
-        here, old = np.zeros(len(fresh)), np.zeros(len(fresh), bool)
-        for seen, value in self.known:
-            if len(seen):
-                near = np.minimum(np.searchsorted(seen, fresh), len(seen) - 1)
-                hit = seen[near] == fresh
-                here[hit] = value[near[hit]]
-                old |= hit
-        new = fresh[~old]
-        here[~old] = self.model.log10_of(new)
-        large, small = self.known
-        small = self._merged(small, (new, here[~old]))
-        if len(small[0]) > 50_000 + len(large[0]) // 4:
-            large, small = (small if len(large[0]) > self.cache else self._merged(large, small)), (np.zeros(0, _U), np.zeros(0))
-        self.known = [large, small]
-        return np.diff(np.concatenate([[0], np.cumsum(here[np.searchsorted(fresh, keys)])])[offsets]) + 0.0
-
-
-_PARTS = "what tinyint, chunk long, place int, key long, n long, doc_id long, held_out boolean, words binary, score double, bytes long"
-
-
-def _parts(docs: DataFrame, shared, p: Ctw, chunk_words: int = 1_000_000) -> DataFrame:  # noqa: ANN001
-    """``docs(doc_id, text, held_out)`` -> the words of each chunk, with their training counts, and the texts scored.
-
-    A text's ``words``: places in the chunk's dictionary, then their counts, as 32-bit integers.
-    """
-    types = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.float64(), pa.int64()]
+def _parts(docs: DataFrame, p: Ctw, most: int = 1_500_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """``docs(doc_id, text, held_out)`` -> the words and windows of each chunk, with their training counts, and its texts."""
+    types = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
     names = [f.split()[0] for f in _PARTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, task, chunk = _Scorer(shared.value, p), TaskContext.get().partitionId(), 0
-        rows: list[tuple] = []
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+        task, chunk, size = TaskContext.get().partitionId(), 0, 0
+        held: dict[int, list[tuple]] = {_WORD: [], _WINDOW: []}
 
-        def batch_of(size_: int, **columns) -> pa.RecordBatch:  # noqa: ANN003
-            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size_, t) for c, t in zip(names, types)], names)
+        def gathered() -> int:
+            """Merges what is held of each kind; returns the number of keys."""
+            for pairs in held.values():
+                pairs[:] = [_summed(*(np.concatenate(x) for x in zip(*pairs)))] if pairs else []
+            return sum(len(k) for pairs in held.values() for k, _ in pairs)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not rows:
-                return
-            number = task << 32 | chunk
-            every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            each = np.concatenate(counts)
-            size = np.array([len(k) for k in keys], np.int64)
-            train = np.repeat(np.array([not r[1] for r in rows]), size)
-            n = np.bincount(inverse, each * train, minlength=len(every)).astype(np.int64)
-            yield batch_of(len(every), what=np.full(len(every), _WORD, np.int8), chunk=np.full(len(every), number), place=np.arange(len(every), dtype=np.int32), key=every.view(np.int64), n=n)
-            ends = np.cumsum(size)
-            packed = [inverse[e - s : e].astype(np.int32).tobytes() + each[e - s : e].astype(np.int32).tobytes() for s, e in zip(size, ends)]
-            yield batch_of(len(rows), what=np.full(len(rows), _DOC, np.int8), chunk=np.full(len(rows), number), doc_id=[r[0] for r in rows], held_out=[r[1] for r in rows], words=packed, score=[r[2] for r in rows], bytes=[r[3] for r in rows])
-            rows.clear(), keys.clear(), counts.clear()
-
-        held = 0
+            gathered()
+            for what, pairs in held.items():
+                for keys, n in pairs:
+                    for a in range(0, len(keys), 50_000):
+                        k = keys[a : a + 50_000]
+                        columns = {"what": np.full(len(k), what, np.int8), "chunk": np.full(len(k), task << 32 | chunk), "key": k.view(np.int64), "n": n[a : a + 50_000]}
+                        yield pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(len(k), t) for c, t in zip(names, types)], names)
+                pairs.clear()
+
         for batch in batches:
             flat, offsets = utf8(batch.column(1))
-            ids, test = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            test = np.array(batch.column(2).to_pylist(), bool)
             for a, b in pieces(offsets):
                 part, own = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                w, score = words(part, own), scorer.scores(part, own)
-                for i in range(b - a):
-                    k, n = np.unique(w.hashes[w.bounds[i] : w.bounds[i + 1]], return_counts=True)
-                    keys.append(k)
-                    counts.append(n)
-                    held += len(k)
-                    rows.append((ids[a + i], test[a + i], float(score[i]), int(own[i + 1] - own[i])))
-                if held > chunk_words:
+                w, keys = words(part, own), p.windows(part, own)
+                for what, k, each in ((_WORD, w.hashes, np.diff(w.bounds)), (_WINDOW, keys, np.diff(own))):
+                    train = np.repeat(~test[a:b], each)
+                    held[what] += [_distinct(k[train], True), _distinct(k[~train], False)]
+                n = b - a
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, _DOC, np.int8)), pa.array(np.full(n, task << 32 | chunk)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), batch.column(0).slice(a, n), batch.column(2).slice(a, n), batch.column(1).slice(a, n)], names)
+                size += len(part)
+                if size > most_bytes or sum(len(k) for x in held.values() for k, _ in x) > most and gathered() > 2 * most // 3:
                     yield from flush()
-                    held, chunk = 0, chunk + 1
+                    chunk, size = chunk + 1, 0
         yield from flush()
 
     return docs.mapInArrow(run, _PARTS)
@@ -349,45 +398,62 @@ def score(docs: DataFrame, held_out: Column, p: Ctw = Ctw()) -> DataFrame:
     the words and one end.  With nothing to learn from, every bit costs one
     bit and every count is 0.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    windows = written(_windows(rows.where("not held_out"), p), "windows")
-    parts = written(_parts(rows, spark.sparkContext.broadcast(model(windows, p)), p), "parts")
-    own = parts.where(f"what = {_WORD}")
-    vocabulary = written(own.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
-    ends = parts.where(f"what = {_DOC} and not held_out").count()
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    parts = written(_parts(rows, p), "parts")
+    own, texts = parts.where(f"what != {_DOC}").select("what", "chunk", "key", "n"), parts.where(f"what = {_DOC}")
+    counts = lambda what: own.where(f"what = {what}").groupBy("key").agg(F.sum("n").alias("n"))
+    vocabulary = written(counts(_WORD).where("n > 0"), "vocabulary")
+    ends = texts.where("not held_out").count()
+    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, n_kinds = total["n"] + ends, total["v"] + (ends > 0)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per_token, end = math.log10(n_train + n_kinds + 1), math.log10(ends + 1)
-        chunk, found, table = None, [], None
+        chunk, found, tables = None, {}, {}
+
+        def looked_up(what: int, keys: np.ndarray) -> np.ndarray:
+            known, value = tables[what]
+            if not len(known):
+                return np.zeros(len(keys))
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            return np.where(known[at] == keys, value[at], 0.0)
+
         for batch in batches:
             which, what = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero((np.diff(which) != 0) | (np.diff(what) != 0)) + 1, [len(which)]]) if len(which) else [0]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if which[a] != chunk:
-                    chunk, found, table = which[a], [], None
+                    chunk, found, tables = which[a], {_WORD: [], _WINDOW: []}, {}
                 part = batch.slice(a, b - a)
-                if what[a] == _WORD:
-                    found.append((part.column(2).to_numpy(), part.column(3).to_numpy()))
+                if what[a] != _DOC:
+                    found[what[a]].append((part.column(2).to_numpy().view(_U), part.column(3).to_numpy()))
                     continue
-                if table is None:
-                    place, c = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-                    table = np.zeros(int(place.max(initial=-1)) + 2, np.int64)
-                    table[place] = c
+                if not tables:
+                    for k, pairs in found.items():
+                        keys, value = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, _U), np.zeros(0))
+                        order = np.argsort(keys)
+                        tables[k] = keys[order], value[order]
+                    found = {}
+                flat, offsets = utf8(part.column(6))
+                ids, test = part.column(4).to_pylist(), part.column(5).to_pylist()
                 out = []
-                for doc, test, packed, score_, size in zip(*(part.column(i).to_pylist() for i in range(4, 9))):
-                    place, n = np.frombuffer(packed, np.int32).reshape(2, -1)
-                    c = table[np.minimum(place, len(table) - 1)]
-                    tokens = int(n.sum()) + 1
-                    out.append((doc, test, tokens, int(n[c > 0].sum()) + (ends > 0), n_train, float((n * np.log10(c + 1)).sum()) + end - tokens * per_token, score_, -score_ * math.log2(10) / size if size else None))
+                for x, y in pieces(offsets):
+                    body, at = flat[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
+                    w = words(body, at)
+                    c = looked_up(_WORD, w.hashes)
+                    running = [np.concatenate([[0], np.cumsum(z)]) for z in (c > 0, np.log10(c + 1), looked_up(_WINDOW, p.windows(body, at)))]
+                    seen, base, scores = (np.diff(z[e]) + 0.0 for z, e in zip(running, (w.bounds, w.bounds, at)))
+                    tokens, size = np.diff(w.bounds) + 1, np.diff(at)
+                    for i in range(y - x):
+                        out.append((ids[x + i], test[x + i], int(tokens[i]), int(seen[i]) + (ends > 0), n_train, float(base[i]) + end - int(tokens[i]) * per_token, float(scores[i]), float(-scores[i] * math.log2(10) / size[i]) if size[i] else None))
                 types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
     null = lambda t: F.lit(None).cast(t)
-    known = own.select("key", "chunk", "place").join(vocabulary, "key").select("chunk", F.lit(_WORD).cast("tinyint").alias("what"), "place", F.col("c").alias("n"), null("long").alias("doc_id"), null("boolean").alias("held_out"), null("binary").alias("words"), null("double").alias("score"), null("long").alias("bytes"))
-    texts = parts.where(f"what = {_DOC}").select("chunk", "what", null("int").alias("place"), null("long").alias("n"), "doc_id", "held_out", "words", "score", "bytes")
-    ordered = known.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "what")
+    tail = [null("long").alias("doc_id"), null("boolean").alias("held_out"), null("string").alias("text")]
+    windows = written(window_scores(counts(_WINDOW), p), "scores")
+    known = [own.where(f"what = {k}").select("key", "chunk").join(table, "key").select("chunk", F.lit(k).cast("tinyint").alias("what"), "key", F.col(value).cast("double").alias("value"), *tail) for k, table, value in ((_WORD, vocabulary, "n"), (_WINDOW, windows, "score"))]
+    held = texts.select("chunk", "what", "key", null("double").alias("value"), "doc_id", "held_out", "text")
+    ordered = known[0].unionByName(known[1]).unionByName(held).repartition("chunk").sortWithinPartitions("chunk", "what")
     return ordered.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

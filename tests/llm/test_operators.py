@@ -461,6 +461,44 @@ def test_probabilities_sum_to_one(spark):
         assert (10 ** m.log10_of(every)).sum() == pytest.approx(1.0, abs=1e-5)
 
 
+def test_every_context_counts(spark):
+    rows = [(i, t) for i, t in enumerate(texts(50, 5))] + [(90, "Rent under the shore, once only: zqé!")]
+    got = {r["doc_id"]: r for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), langid.held_out(2, 7)).collect()}
+    assert any(r["held_out"] for r in got.values())
+    seen, children = {}, {}
+    padded = {i: b"\0" * 5 + t.encode() for i, t in rows}
+    for i, t in padded.items():
+        for j in range(5, len(t)) if not got[i]["held_out"] else ():
+            for d in range(6):
+                for k in range(8):
+                    node = t[j - d : j], f"{t[j]:08b}"[:k]
+                    seen.setdefault(node, [0, 0])[t[j] >> (7 - k) & 1] += 1
+                    if d:
+                        children.setdefault((node[0][1:], node[1]), set()).add(node)
+    kt, weighted = {}, {}
+    for node in sorted(seen, key=lambda x: -len(x[0])):
+        a, b = seen[node]
+        kt[node] = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        weighted[node] = kt[node] if len(node[0]) == 5 else np.logaddexp(kt[node], sum(weighted[c] for c in children[node])) - math.log(2)
+
+    def probability(context, bits, bit, d=0):
+        node = context[5 - d :], bits
+        a_b = seen[node]
+        mine, longer = (a_b[bit] + 0.5) / (sum(a_b) + 1), (context[4 - d :], bits)
+        if d == 5 or longer not in seen:
+            return mine
+        w = 1 / (1 + math.exp(min(700, sum(weighted[c] for c in children[node]) - kt[node])))
+        return w * mine + (1 - w) * probability(context, bits, bit, d + 1)
+
+    for i, t in padded.items():
+        want = 0.0
+        for j in range(5, len(t)):
+            for k in range(8):
+                bits = f"{t[j]:08b}"
+                want += math.log10(probability(t[j - 5 : j], bits[:k], int(bits[k])) if (b"", bits[:k]) in seen else 0.5)
+        assert got[i]["score"] == pytest.approx(want, rel=1e-5, abs=1e-6)
+
+
 # 5 Pieces
 
 
