@@ -1,17 +1,11 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
-
-Chakraborty, Goldenberg and Koucky, "Streaming algorithms for embedding and
-computing edit distance in the low distance regime" (2016): a random walk
-copies a string into a longer one, pausing on a character or going on by a
-random bit that depends on step and character, so that strings of small edit
-distance come out at a small Hamming distance.  Sampling a few positions of
-the walks gives hash keys; equal keys give candidates, and an exact
-edit-distance search decides.
-
-Windows have the size of the items (in classes).  They start where a pair of
-neighbouring words of the text stands in an item of the class, shifted by the
-pair's place there.  Each item keeps the longer half of its word
-pairs for that; a copy needs one of them intact.
+"""Benchmark decontamination by exact pieces of the items and exact edit verification.
+
+An item cut into pieces keeps, however its k edits fall, all but k of them
+intact, and as the edits shift what follows by k bytes at most, these stand on
+diagonals (place in the text less place in the item) of a range of k.  Pieces
+of a length that leaves several intact are looked up at every byte of the
+text and counted by diagonal; where enough meet, Myers' bit-vector search
+decides.  No occurrence is lost to the counting.
 """
 
 from __future__ import annotations
@@ -25,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodegraph.llm.words import mix, pieces, utf8, words
+from lodegraph.llm.words import mix, utf8
 
-_K = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[[9, 10, 11, 12, 13]] = 0x20
@@ -35,28 +28,23 @@ _PLAIN[[9, 10, 11, 12, 13]] = 0x20
 
 @dataclass(frozen=True)
 class Leaks:
-    """What counts as a copy, and the windows and hash tables that find it.
+    """What counts as a copy.
 
     ``similarity``: an item occurs where some stretch of the text is within
-    (1 - similarity) times the item's bytes in edits.  A position of two walks
-    over such a pair agrees with probability ``agreement`` or more; ``sample``
-    positions make a key, and there are as many tables as reach ``recall``.
+    (1 - similarity) times the item's bytes in edits.
     """
 
     similarity: float = 0.8
-    agreement: float = 0.45
-    sample: int = 4
-    recall: float = 0.99
-    walks: int = 8
-    class_ratio: float = 1.25
-    anchors: float = 0.5
     block_items: int = 10_000
     block_bytes: int = 8 << 20
 
-    @property
-    def tables(self) -> int:
-        """For each walk."""
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.agreement**self.sample) / self.walks)
+    def edits(self, size: int) -> int:
+        return int((1 - self.similarity) * size + 1e-9)
+
+    def piece(self, size: int) -> tuple[int, int]:
+        """Length of an item's pieces, and how many at least stay intact."""
+        k = self.edits(size)
+        return next(((q, size // q - k) for least in (4, 1) for q in range(8, 0, -1) if size // q - k >= least), (1, 0))
 
 
 def plain(text: str | None) -> bytes:
@@ -101,7 +89,7 @@ def _search(item: bytes, text: bytes, free: bool) -> tuple[int, int]:
 
 
 class Tables:
-    """Hash tables of one block of items."""
+    """The pieces of one block of items."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], p: Leaks) -> None:
         self.p = p
@@ -110,115 +98,135 @@ class Tables:
             if body := plain(text):
                 self.ids.append(i)
                 self.texts.append(body)
-        sizes = np.array([len(x) for x in self.texts], np.int64)
-        step = math.log(p.class_ratio)
-        raw = np.ceil(np.log(np.maximum(sizes, 1)) / step - 1e-9).astype(int)
-        names = np.unique(raw)
-        self.classes = np.searchsorted(names, raw)
-        self.width = np.array([int(sizes[self.classes == c].max()) for c in range(len(names))], np.int64)
-        rng = np.random.default_rng(7)
-        # Positions past the item's part of the walk would compare what follows it; most walks take two steps a byte.
-        least = [int(sizes[self.classes == c].min()) for c in range(len(names))]
-        self.coords = [rng.integers(0, max(1, int(1.8 * n)), (p.walks, p.tables, p.sample)) for n in least]
-        self.steps = max((int(c.max()) + 1 for c in self.coords), default=0)
-        self.bits = rng.integers(0, 2, (self.steps, p.walks, 256), dtype=np.uint8)
-        anchors: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for i, body in enumerate(self.texts):
-            flat = np.frombuffer(body, np.uint8)
-            w = words(flat, np.array([0, len(flat)]))
-            keys, span = (mix(w.hashes[:-1] * _K + w.hashes[1:]), w.ends[1:] - w.starts[:-1]) if len(w.hashes) > 1 else (w.hashes, w.ends - w.starts)
-            for j in np.argsort(-span, kind="stable")[: math.ceil(len(keys) * self.p.anchors)]:
-                anchors[int(keys[j])].add((int(self.classes[i]), int(w.starts[j])))
-        self.single = any(b" " not in x for x in self.texts)
-        self.anchor_keys = np.array(sorted(anchors), np.uint64)
-        self.anchor_at = [sorted(anchors[int(k)]) for k in self.anchor_keys]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.anchor_keys >> np.uint64(44)).astype(np.int64)] = True
-        self.buckets: list[dict[int, list[int]]] = [defaultdict(list) for _ in names]
-        for c in range(len(names)):
-            own = np.flatnonzero(self.classes == c)
-            rows = np.zeros((len(own), int(self.width[c])), np.uint8)
-            for r, i in enumerate(own):
-                rows[r, : len(self.texts[i])] = np.frombuffer(self.texts[i], np.uint8)
-            for r, keys in enumerate(self.keys(rows, c)):
-                for key in keys.tolist():
-                    self.buckets[c][key].append(int(own[r]))
-        self.bucket_keys = [np.array(sorted(b), np.uint64) for b in self.buckets]
-
-    def keys(self, rows: np.ndarray, c: int) -> np.ndarray:
-        """Keys of all tables for windows of class ``c``, one row each."""
-        p, n = self.p, len(rows)
-        text = np.concatenate([rows, np.zeros((n, 1), np.uint8)], axis=1).ravel()
-        width, last = rows.shape[1] + 1, rows.shape[1]
-        base = (np.arange(n) * width)[None, :]
-        at = np.zeros((p.walks, n), np.int64)
-        steps = int(self.coords[c].max()) + 1
-        walked = np.zeros((steps, p.walks, n), np.uint8)
-        walk = np.arange(p.walks)[:, None]
-        for j in range(steps):
-            walked[j] = sym = text[base + at]
-            at += self.bits[j][walk, sym]
-            np.minimum(at, last, out=at)
-        out = np.empty((n, p.walks, p.tables), np.uint64)
-        for r in range(p.walks):
-            for t in range(p.tables):
-                key = np.full(n, r * p.tables + t + 1, np.uint64)
-                for s in self.coords[c][r, t]:
-                    key = (key << np.uint64(8)) | walked[s, r].astype(np.uint64)
-                out[:, r, t] = key
-        return out.reshape(n, -1)
-
-    def windows(self, flat: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int]]]:
-        """For each class the (text, start) of its windows, start relative to the text."""
-        found: list[set[tuple[int, int]]] = [set() for _ in self.buckets]
-        for first, last in pieces(offsets) if self.texts else ():
-            self._windows(flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first, found)
-        return [sorted(x) for x in found]
-
-    def _windows(self, flat: np.ndarray, offsets: np.ndarray, first: int, found: list[set[tuple[int, int]]]) -> None:
-        w = words(flat, offsets)
-        kinds = [(mix(w.hashes[:-1] * _K + w.hashes[1:]), 1)] if len(w.hashes) > 1 else []
-        for keys, more in [*kinds, *([(w.hashes, 0)] if self.single else [])]:
-            at = np.flatnonzero(self.maybe[(keys >> np.uint64(44)).astype(np.int64)])
-            pos = np.minimum(np.searchsorted(self.anchor_keys, keys[at]), len(self.anchor_keys) - 1)
-            hit = self.anchor_keys[pos] == keys[at]
+        self.size = np.array([len(x) for x in self.texts], np.int64)
+        self.edits = np.array([p.edits(n) for n in self.size], np.int64)
+        # Diagonals are counted in bins of about an eighth of the edits; ``run`` neighbours hold any range of that size.
+        self.shift = np.array([max(0, int(k).bit_length() - 3) for k in self.edits], np.int64)
+        self.run = (self.edits + (1 << self.shift) - 1 >> self.shift) + 1
+        cut = [p.piece(int(n)) for n in self.size]
+        self.least = np.array([t for _, t in cut], np.int64)
+        self.reach = int((self.size + self.edits).max()) if self.texts else 0
+        # Of an item's blocks of up to 64 bytes one has no more than its share of the edits.
+        blocks = [(i, o, min(64, int(n) - o)) for i, n in enumerate(self.size) for o in range(0, int(n), 64)]
+        self.first_block = np.searchsorted([i for i, _, _ in blocks], np.arange(len(self.size) + 1))
+        self.top = np.array([m - 1 for _, _, m in blocks], np.uint64)
+        self.most = np.array([int(self.edits[i]) * m // int(self.size[i]) for i, _, m in blocks], np.int64)
+        self.at = np.zeros((len(blocks), 256), np.uint64)
+        for r, (i, o, m) in enumerate(blocks):
+            for j, c in enumerate(self.texts[i][o : o + m]):
+                self.at[r, c] |= np.uint64(1 << j)
+        self.codes: dict[int, tuple[np.ndarray, ...]] = {}
+        for q in sorted({q for q, _ in cut}):
+            own = [(i, o) for i, (r, _) in enumerate(cut) if r == q for o in range(0, int(self.size[i]) - q + 1, q)]
+            item, offset = (np.array(x, np.int64) for x in zip(*own))
+            code = np.array([int.from_bytes(self.texts[i][o : o + q], "little") for i, o in own], np.uint64)
+            order = np.argsort(code, kind="stable")
+            known, first, count = np.unique(code[order], return_index=True, return_counts=True)
+            maybe = np.zeros(1 << 22, bool)
+            maybe[(mix(known) >> np.uint64(42)).astype(np.int64)] = True
+            self.codes[q] = known, first, count, item[order], offset[order], maybe
+
+    def _candidates(self, low: np.ndarray, a: int) -> Iterator[tuple[int, int, int]]:
+        """``(item, x, y)``: every occurrence of an item in the part ``low`` of a text, which stands at ``a``, lies in one of its stretches."""
+        bins = (len(low) + self.size >> self.shift) + 1 + self.run
+        base = np.cumsum(bins) - bins
+        total = np.zeros(int(bins.sum()), np.int32)
+        for q, (known, first, count, item, offset, maybe) in self.codes.items():
+            n = len(low) - q + 1
+            if n < 1:
+                continue
+            code = np.zeros(n, np.uint64)
+            for j in range(q):
+                code |= low[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+            at = np.flatnonzero(maybe[(mix(code) >> np.uint64(42)).astype(np.int64)])
+            pos = np.minimum(np.searchsorted(known, code[at]), len(known) - 1)
+            hit = known[pos] == code[at]
             at, pos = at[hit], pos[hit]
-            text = np.searchsorted(w.bounds, at, "right") - 1
-            within = at + more < w.bounds[text + 1]
-            for j, k, i in zip(at[within].tolist(), pos[within].tolist(), text[within].tolist()):
-                for c, place in self.anchor_at[k]:
-                    found[c].add((first + i, int(w.starts[j] - offsets[i]) - place))
+            ends = np.cumsum(count[pos])
+            lo = 0
+            while lo < len(at):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2_000_000, "right")))
+                x, each = at[lo:hi], count[pos[lo:hi]]
+                last = np.cumsum(each)
+                piece = np.arange(last[-1]) + np.repeat(first[pos[lo:hi]] - last + each, each)
+                i = item[piece]
+                total += np.bincount(base[i] + (np.repeat(x, each) - offset[piece] + self.size[i] >> self.shift[i]), minlength=len(total)).astype(np.int32)
+                lo = hi
+        running = np.concatenate([np.zeros(1, np.int32), np.cumsum(total, dtype=np.int32)])
+        for i in range(len(bins)):
+            size, k, shift, run = int(self.size[i]), int(self.edits[i]), int(self.shift[i]), int(self.run[i])
+            own = running[base[i] : base[i] + bins[i] + 1]
+            for cell in np.flatnonzero(own[run:] - own[:-run] >= self.least[i]).tolist():
+                start = (cell << shift) - size
+                yield i, max(0, a + start - k), a + start + (run << shift) + size + 2 * k
+
+    def near(self, low: np.ndarray, stretches: list[tuple[int, int, int]], lanes: int = 4096) -> list[tuple[int, int, int]]:
+        """Those ``(item, a, b)`` that hold a block of the item within its share of the edits: Myers' search, many at once."""
+        if not stretches:
+            return []
+        item, start, end = np.array(stretches, np.int64).T
+        each = np.diff(self.first_block)[item]
+        owner = np.repeat(np.arange(len(item)), each)
+        block = self.first_block[item][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+        length = (end - start)[owner]
+        order = np.argsort(length, kind="stable")
+        text = np.concatenate([low, np.zeros(int(length.max()), np.uint8)])
+        keep, one = np.zeros(len(item), bool), np.uint64(1)
+        for k in range(0, len(order), lanes):
+            lane = order[k : k + lanes]
+            own, begin, row = block[lane], start[owner[lane]], block[lane] * 256
+            top, score = self.top[own], self.top[own].astype(np.int64) + 1
+            best, table = score.copy(), self.at.ravel()
+            plus, minus = np.full(len(lane), ~np.uint64(0)), np.zeros(len(lane), np.uint64)
+            for j in range(int(length[lane[-1]])):
+                eq = table[row + text[begin + j]]
+                x = eq | minus
+                d0 = (((eq & plus) + plus) ^ plus) | eq | minus
+                hp, hn = minus | ~(d0 | plus), plus & d0
+                score += ((hp >> top) & one).view(np.int64)
+                score -= ((hn >> top) & one).view(np.int64)
+                np.minimum(best, score, out=best)
+                hp <<= one
+                hn <<= one
+                plus, minus = hn | ~(x | hp), hp & x
+            keep[owner[lane[best <= self.most[own]]]] = True
+        return [x for x, k in zip(stretches, keep) if k]
+
+    def _joined(self, stretches: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+        now = None
+        for item, a, b in sorted(stretches):
+            if now and now[0] == item and a <= now[2]:
+                now = item, now[1], max(b, now[2])
+            else:
+                if now:
+                    yield now
+                now = item, a, b
+        if now:
+            yield now
 
     def search(self, flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """``(text, item, distance, start, end)`` of the best occurrence of each item in each text; byte offsets."""
         low = _PLAIN[flat]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for c, places in enumerate(self.windows(flat, offsets)):
-            width = int(self.width[c])
-            for k in range(0, len(places), 4096):
-                part = places[k : k + 4096]
-                rows = np.zeros((len(part), width), np.uint8)
-                for r, (i, start) in enumerate(part):
-                    a, b = offsets[i] + max(0, start), min(offsets[i] + max(0, start) + width, offsets[i + 1])
-                    rows[r, : max(0, b - a)] = low[a:b]
-                keys = self.keys(rows, c)
-                known = self.bucket_keys[c]
-                pos = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                for r, t in zip(*np.nonzero(known[pos] == keys)):
-                    i, start = part[r]
-                    for item in self.buckets[c][int(keys[r, t])]:
-                        best.setdefault((i, item, start), None)
+        stretches: list[tuple[int, int, int]] = []
+        for a in range(0, len(low) if self.texts else 0, 1 << 16):
+            own = []
+            for item, x, y in self._joined(list(set(self._candidates(low[a : a + (1 << 16) + self.reach], a)))):
+                most = int(self.size[item] + self.edits[item])
+                own += [(item, z, min(y, z + 2 * most, len(low))) for z in range(x, max(x + 1, min(y, len(low)) - most), most)]
+            stretches += self.near(low, own)
+        stretches = list(self._joined(stretches))
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i, item, start in best:
-            body = self.texts[item]
-            most = int((1 - self.p.similarity) * len(body) + 1e-9)
-            a = max(0, start - most)
-            b = min(int(offsets[i + 1] - offsets[i]), max(0, start) + len(body) + most)
-            if (i, item) in out and out[i, item][0] == 0:
-                continue
-            d, x, y = best_match(body, low[offsets[i] + a : offsets[i] + b].tobytes())
-            if d <= most:
-                new = (d, a + x, a + y)
+        for item, a, b in stretches:
+            body, most = self.texts[item], int(self.edits[item])
+            for i in range(int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets[:-1], b, "left"))):
+                first, last = max(a, int(offsets[i])), min(b, int(offsets[i + 1]))
+                if last - first < len(body) - most:
+                    continue
+                part = low[first:last].tobytes()
+                if _search(body, part, True)[0] > most:
+                    continue
+                d, x, y = best_match(body, part)
+                new = (d, first - int(offsets[i]) + x, first - int(offsets[i]) + y)
                 out[i, item] = min(out.get((i, item), new), new)
         for (i, item), (d, x, y) in sorted(out.items()):
             yield i, item, d, x, y

@@ -211,6 +211,36 @@ def test_leaks_equal_brute_force(spark):
         assert distance(body, decontaminate.plain(dict(rows)[r["doc_id"]][r["start"] : r["end"]])) <= r["distance"]
 
 
+def test_leaks_with_scattered_edits():
+    rng = random.Random(12)
+    letters = "etaoinshrdlu"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 8)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(2, 50)))) for i in range(30)]
+    items += [(30 + i, "".join(rng.choice("数据学习模型语言") for _ in range(40))) for i in range(5)]
+    bodies = [decontaminate.plain(t) for _, t in items]
+    rows, want = [], set()
+    for share in (0.05, 0.1, 0.15, 0.2):
+        for i, body in enumerate(bodies):
+            for even in (False, True):
+                copy, most = list(body), int(share * len(body) + 1e-9)
+                places = [int((j + 0.5) * len(copy) / most) for j in range(most)] if even else rng.sample(range(len(copy)), most)
+                for at in sorted(places, reverse=True):
+                    kind = 0 if even else rng.randrange(3)
+                    copy[at : at + (kind < 2)] = [[ord("x")], [], [ord("x")]][kind]
+                around = [" ".join(word() for _ in range(rng.randint(0, 60))).encode() for _ in range(2)]
+                text = around[0] + b" " + bytes(copy) + b" " + around[1]
+                want.add((len(rows), i))
+                rows.append(text)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    tables = decontaminate.Tables(items, decontaminate.Leaks())
+    got = {(i, item): d for i, item, d, *_ in tables.search(np.frombuffer(b"".join(rows), np.uint8), offsets)}
+    assert want <= set(got)
+    for i, text in enumerate(rows):
+        for item in range(0, 35, 6):
+            least = decontaminate._search(bodies[item], text, True)[0]
+            assert got.get((i, item)) == (least if least <= int(0.2 * len(bodies[item]) + 1e-9) else None)
+
+
 def test_leaks_in_blocks_and_awkward_rows(spark):
     items = spark.createDataFrame([(1, "same words here again"), (2, "no id at all")], "item_id long, text string")
     p = decontaminate.Leaks(block_items=1)
