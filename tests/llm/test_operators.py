@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -558,19 +559,59 @@ def all_paths(unit, v):
                 for s, rest in walk(j):
                     yield score[o] + s, [o, *rest]
 
-    return sorted(walk(0), key=lambda x: -x[0])
+    # Of equally good ones the longest last piece, then the longest before it, and so on.
+    body = v.tables()[3]
+    return sorted(walk(0), key=lambda x: (-x[0], [-len(body[i]) for i in reversed(x[1])]))
 
 
-def test_n_best_equals_enumeration(vocabulary):
-    rng = random.Random(5)
-    units = [("".join(rng.choice(["a", "b", "é", "z"]) for _ in range(rng.randint(1, 7)))).encode() for _ in range(80)] + [b"\xffab", b"\xff\xffa"]
-    e = pieces.Encoder(vocabulary, 4)
+@pytest.fixture(scope="module")
+def level():
+    """All pieces equally likely, so that ties abound."""
+    v = pieces.Vocabulary([(p, 300 + i) for i, p in enumerate([b"a", b"b", b"ab", b"ba", b"aa", b"aba", b"bab", b"\xffa"])], list(range(256)))
+    child, piece_at, score, *rest = v.tables()
+    v._built = child, piece_at, np.full(len(score), -2.0), *rest
+    return v
+
+
+@pytest.mark.parametrize("which", ["vocabulary", "level"])
+def test_n_best_equals_enumeration(which, request):
+    v, rng = request.getfixturevalue(which), random.Random(5)
+    units = [("".join(rng.choice(["a", "b", "é", "z"]) for _ in range(rng.randint(1, 7)))).encode() for _ in range(80)] + [b"\xffab", b"\xff\xffa", b"abababab"]
+    e = pieces.Encoder(v, 4)
     units = sorted(set(units), key=len)
     e.search(units)
     for u in units:
-        want = [s for s, _ in all_paths(u, vocabulary)][:4]
-        assert np.allclose(e.scores[e.at[u]][: len(want)], want)
-        assert np.allclose([s for s, _ in pieces.best_paths(pieces.lattice([u], vocabulary), 0, 4)], want)
+        want = all_paths(u, v)[:4]
+        at = e.at[u]
+        assert e.scores[at][: len(want)].tolist() == [s for s, _ in want]
+        assert e.ids[e.first[at] : e.first[at] + e.sizes[at]].tolist() == want[0][1]
+        found = pieces.best_paths(pieces.lattice([u], v), 0, 4)
+        assert [s for s, _ in found] == [s for s, _ in want] and found[0][1] == want[0][1]
+
+
+@pytest.mark.parametrize("which", ["vocabulary", "level"])
+def test_one_long_word_is_bounded(which, request):
+    v = request.getfixturevalue(which)
+    for word in ("a" * 20_000, "ab" * 10_000, "aba" * 7_000, "é" * 9_000):
+        began = time.time()
+        ((ids, _, losses),) = pieces.Encoder(v, 3).encode_batch([word])
+        assert time.time() - began < 10 and v.decode(ids) == word and len(losses) == 2 * (word[0] == "a")
+
+
+def test_the_cache_changes_nothing(vocabulary):
+    rng = random.Random(8)
+    docs = [" ".join("".join(rng.choice("abz") for _ in range(rng.randint(1, 9))) for _ in range(40)) for _ in range(600)]
+    for x, y in zip(pieces.Encoder(vocabulary, 3, cache=50).encode_batch(docs), pieces.Encoder(vocabulary, 3).encode_batch(docs)):
+        assert x[0].tolist() == y[0].tolist() and x[1:] == y[1:]
+
+
+def test_a_vocabulary_file():
+    v = pieces.Vocabulary.load("/opt/tokenizers/piece_bpe_32k.model")
+    sizes = [len(p) for p, _ in v.pieces]
+    assert len(v.pieces) > 30_000 and max(sizes) > 5 and len(set(v.byte_ids)) == 256
+    docs = ["Hello, world", " lead  and trail ", "数据 \U0001f600\nx", ""]
+    for t, (ids, score, _) in zip(docs, pieces.Encoder(v).encode_batch(docs)):
+        assert v.decode(ids) == t and (score < 0) == bool(t)
 
 
 def test_losses_of_whole_texts(vocabulary):
@@ -582,7 +623,7 @@ def test_losses_of_whole_texts(vocabulary):
 
 
 def test_pieces_round_trip(spark, vocabulary):
-    rows = [(i, t) for i, t in enumerate(["", None, " a  b ", "▁ab\n\nba", "\U0001f600é" * 40, "ab" * 200, *texts(10)])]
+    rows = [(i, t) for i, t in enumerate(["", None, " a  b ", "▁ab\n\nba", "\U0001f600é" * 40, "ab" * 200, *texts(10), "ab é" * 30_000, "same", "same"])]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, ids int")
     out = {r["doc_id"]: r for r in pieces.round_trip(docs, vocabulary).collect()}
     assert all(r["exact"] for r in out.values()) and out[0]["n_tokens"] == 0 and out[0]["loss"] is None
