@@ -1,16 +1,22 @@
-"""Benchmark decontamination by exact pieces of the items and exact edit verification.
-
-An item cut into pieces keeps, however its k edits fall, all but k of them
-intact, and as the edits shift what follows by k bytes at most, these stand on
-diagonals (place in the text less place in the item) of a range of k.  Pieces
-of a length that leaves several intact are looked up at every byte of the
-text and counted by diagonal; where enough meet, Myers' bit-vector search
-decides.  No occurrence is lost to the counting.
+"""Benchmark decontamination: CGK walks, bit-sampling LSH over windows, exact edit verification.
+
+Chakraborty, Goldenberg and Koucky's embedding walks a string and at each step
+stays or goes on by one random bit of (step, byte); two strings walked by the
+same bits fall back into step after an edit, so a small edit distance becomes
+a small Hamming distance.  A table samples coordinates of one such walk.  They
+are the walk's first ones: with an edit in every fifth byte two walks part for
+longer and longer.  An item therefore enters with the walk from each of its
+offsets, and the text with that from every ``stride`` th byte, so that an
+occurrence is tried at many places, each by all tables.  How many tables the
+target recall takes is measured on the items themselves, changed as much as the
+threshold allows.  Where coordinates meet, Myers' bit-vector search decides
+over the 64 bytes around and then over the whole item.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,32 +25,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lodegraph.llm.scratch import bounded_batches
 from lodegraph.llm.words import mix, utf8
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[[9, 10, 11, 12, 13]] = 0x20
+_U = np.uint64
+#: Walks see a byte as one of 16 kinds, so that four bytes index a table of four steps; coordinates are whole bytes.
+_KIND = (mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15)) & _U(15)).astype(np.uint16)
+_SPACE = 64
 
 
 @dataclass(frozen=True)
 class Leaks:
-    """What counts as a copy.
+    """What counts as a copy, and how surely it is found.
 
     ``similarity``: an item occurs where some stretch of the text is within
-    (1 - similarity) times the item's bytes in edits.
+    (1 - similarity) times the item's bytes in edits.  ``recall`` is the share
+    of items, changed at random by as many edits, that the tables must find.
+    ``most_tables`` bounds them.
     """
 
     similarity: float = 0.8
-    block_items: int = 10_000
-    block_bytes: int = 8 << 20
+    recall: float = 0.99
+    most_tables: int = 64
+    block_bytes: int = 1 << 19
 
     def edits(self, size: int) -> int:
         return int((1 - self.similarity) * size + 1e-9)
 
-    def piece(self, size: int) -> tuple[int, int]:
-        """Length of an item's pieces, and how many at least stay intact."""
-        k = self.edits(size)
-        return next(((q, size // q - k) for least in (4, 1) for q in range(8, 0, -1) if size // q - k >= least), (1, 0))
+
+@dataclass(frozen=True)
+class Shape:
+    """Items of ``least`` bytes or more (up to the next shape): coordinates of a table, four steps apart, and the stride of the windows."""
+
+    least: int
+    coordinates: int
+    stride: int
+
+
+SHAPES = (Shape(1, 1, 1), Shape(4, 2, 1), Shape(16, 3, 1), Shape(32, 6, 4), Shape(64, 10, 8))
 
 
 def plain(text: str | None) -> bytes:
@@ -88,98 +109,169 @@ def _search(item: bytes, text: bytes, free: bool) -> tuple[int, int]:
     return best
 
 
+def codes(low: np.ndarray) -> np.ndarray:
+    """The kinds of each byte and the three after it."""
+    kind = np.zeros(len(low) + 3, np.uint16)
+    kind[: len(low)] = _KIND[low]
+    return kind[:-3] | kind[1:-2] << 4 | kind[2:-1] << 8 | kind[3:] << 12
+
+
+def walk(table: int, coordinates: int) -> list[np.ndarray]:
+    """How far four steps go from a place with a code, for each coordinate after the first."""
+    bits = np.random.default_rng(table).integers(0, 2, (4 * coordinates, 16))
+    code, out = np.arange(1 << 16), []
+    for first in range(0, 4 * coordinates - 4, 4):
+        on = np.zeros(1 << 16, np.int64)
+        for step in range(first, first + 4):
+            on += bits[step][(code >> 4 * on) & 15]
+        out.append(on)
+    return out
+
+
+def sampled(low: np.ndarray, code: np.ndarray, start: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the coordinates of the walks from ``start``, and where these ended; ``low`` goes on long enough."""
+    at = start
+    key = low[at].astype(_U)
+    for on in steps:
+        at = at + on[code[at]]
+        key = key * _U(0x9E3779B97F4A7C15) + low[at]
+    return mix(key), at
+
+
+def _spaced(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts end to end, zeros between; the text and the offset in it of each byte of theirs."""
+    low = np.frombuffer(b"".join(t + bytes(_SPACE) for t in texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), size)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    return low, owner, offset
+
+
+def changed(text: bytes, edits: int, rng: random.Random) -> bytes:
+    """``text`` after random edits, half of them replacements, the others insertions and deletions alike."""
+    out = bytearray(text)
+    for _ in range(edits):
+        kind, i, c = rng.random(), rng.randrange(len(out) + 1), rng.choice(b"abcdefghijklmnopqrstuvwxyz")
+        if kind < 0.25 or i == len(out):
+            out.insert(i, c)
+        elif kind < 0.5 and len(out) > 1:
+            del out[i]
+        else:
+            out[i] = c
+    return bytes(out)
+
+
+def tables_needed(texts: list[bytes], shape: Shape, p: Leaks, trials: int = 400) -> int:
+    """Tables by which ``p.recall`` of the changed texts share a sample with theirs; measured on ``trials`` copies of up to as many texts."""
+    rng = random.Random(len(texts))
+    some = sorted(texts, key=lambda t: hash_of(t))[:trials]
+    some = (some * (trials // len(some) + 1))[:trials]
+    low, owner, offset = _spaced(some)
+    other, its_owner, its_offset = _spaced([changed(t, p.edits(len(t)), rng) for t in some])
+    here = np.arange(len(owner)) + _SPACE * owner
+    phase = np.array([rng.randrange(shape.stride) for _ in some])
+    stands = its_offset % shape.stride == phase[its_owner]
+    there, its = (np.arange(len(its_owner)) + _SPACE * its_owner)[stands], its_owner[stands].astype(_U)
+    end, code, its_code = (here - offset + np.array([len(t) for t in some])[owner]), codes(low), codes(other)
+    found = np.zeros(trials, bool)
+    for table in range(p.most_tables):
+        steps = walk(table, shape.coordinates)
+        key, last = sampled(low, code, here, steps)
+        key = key[last < end] ^ owner[last < end].astype(_U)
+        hit = np.isin(sampled(other, its_code, there, steps)[0] ^ its, key)
+        found[its_owner[stands][hit]] = True
+        if found.mean() >= p.recall:
+            return table + 1
+    return p.most_tables
+
+
+def hash_of(text: bytes) -> int:
+    return int(mix(np.array([len(text), *text], _U) * _U(0x9E3779B97F4A7C15)).sum())
+
+
 class Tables:
-    """The pieces of one block of items."""
+    """One block of distinct item texts, and the samples of their walks; built where they are used."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], p: Leaks) -> None:
+    def __init__(self, texts: list[str], p: Leaks) -> None:
         self.p = p
-        self.ids, self.texts = [], []
-        for i, text in items:
-            if body := plain(text):
-                self.ids.append(i)
-                self.texts.append(body)
+        kept = [(t, body) for t in texts if (body := plain(t))]
+        self.names, self.texts = [t for t, _ in kept], [body for _, body in kept]
+        self.needed: list[tuple[int, Shape, int]] = []
+        for shape, least in zip(SHAPES, [*(x.least for x in SHAPES[1:]), math.inf]):
+            if own := [t for t in self.texts if shape.least <= len(t) < least]:
+                self.needed.append((least, shape, tables_needed(own, shape, p)))
+        self.built = False
+
+    def _build(self) -> None:
         self.size = np.array([len(x) for x in self.texts], np.int64)
-        self.edits = np.array([p.edits(n) for n in self.size], np.int64)
-        # Diagonals are counted in bins of about an eighth of the edits; ``run`` neighbours hold any range of that size.
-        self.shift = np.array([max(0, int(k).bit_length() - 3) for k in self.edits], np.int64)
-        self.run = (self.edits + (1 << self.shift) - 1 >> self.shift) + 1
-        cut = [p.piece(int(n)) for n in self.size]
-        self.least = np.array([t for _, t in cut], np.int64)
-        self.reach = int((self.size + self.edits).max()) if self.texts else 0
-        # Of an item's blocks of up to 64 bytes one has no more than its share of the edits.
-        blocks = [(i, o, min(64, int(n) - o)) for i, n in enumerate(self.size) for o in range(0, int(n), 64)]
-        self.first_block = np.searchsorted([i for i, _, _ in blocks], np.arange(len(self.size) + 1))
-        self.top = np.array([m - 1 for _, _, m in blocks], np.uint64)
-        self.most = np.array([int(self.edits[i]) * m // int(self.size[i]) for i, _, m in blocks], np.int64)
-        self.at = np.zeros((len(blocks), 256), np.uint64)
-        for r, (i, o, m) in enumerate(blocks):
-            for j, c in enumerate(self.texts[i][o : o + m]):
-                self.at[r, c] |= np.uint64(1 << j)
-        self.codes: dict[int, tuple[np.ndarray, ...]] = {}
-        for q in sorted({q for q, _ in cut}):
-            own = [(i, o) for i, (r, _) in enumerate(cut) if r == q for o in range(0, int(self.size[i]) - q + 1, q)]
-            item, offset = (np.array(x, np.int64) for x in zip(*own))
-            code = np.array([int.from_bytes(self.texts[i][o : o + q], "little") for i, o in own], np.uint64)
-            order = np.argsort(code, kind="stable")
-            known, first, count = np.unique(code[order], return_index=True, return_counts=True)
-            maybe = np.zeros(1 << 22, bool)
-            maybe[(mix(known) >> np.uint64(42)).astype(np.int64)] = True
-            self.codes[q] = known, first, count, item[order], offset[order], maybe
-
-    def _candidates(self, low: np.ndarray, a: int) -> Iterator[tuple[int, int, int]]:
-        """``(item, x, y)``: every occurrence of an item in the part ``low`` of a text, which stands at ``a``, lies in one of its stretches."""
-        bins = (len(low) + self.size >> self.shift) + 1 + self.run
-        base = np.cumsum(bins) - bins
-        total = np.zeros(int(bins.sum()), np.int32)
-        for q, (known, first, count, item, offset, maybe) in self.codes.items():
-            n = len(low) - q + 1
-            if n < 1:
+        self.edits = np.array([self.p.edits(n) for n in self.size], np.int64)
+        # Blocks of up to 64 bytes begin every 32 bytes; the last ends with the item.
+        begins = [sorted({*range(0, max(1, int(n) - 63), 32), max(0, int(n) - 64)}) for n in self.size]
+        self.first_block = np.cumsum([0, *map(len, begins)])
+        self.begin = np.array([o for b in begins for o in b], np.int64)
+        self.owner = np.repeat(np.arange(len(begins)), np.diff(self.first_block))
+        self.width = np.minimum(64, self.size[self.owner] - self.begin)
+        self.most = np.minimum(self.width, (2 * (1 - self.p.similarity) * self.width).astype(np.int64))
+        self.at = np.zeros((len(self.begin), 256), _U)
+        low, owner, offset = _spaced(self.texts)
+        place = np.arange(len(owner)) + _SPACE * owner
+        whole = place[offset == 0]
+        for j in range(64):
+            r = np.flatnonzero(self.width > j)
+            self.at[r, low[whole[self.owner[r]] + self.begin[r] + j]] |= _U(1 << j)
+        code, self.tables = codes(low), []
+        for least, shape, count in self.needed:
+            mine = (self.size[owner] >= shape.least) & (self.size[owner] < least)
+            for table in range(count):
+                steps = walk(table, shape.coordinates)
+                key, last = sampled(low, code, place[mine], steps)
+                inside = last < place[mine] - offset[mine] + self.size[owner[mine]]
+                key, item, o = key[inside], owner[mine][inside], offset[mine][inside]
+                order = np.argsort(key, kind="stable")
+                known, first, times = np.unique(key[order], return_index=True, return_counts=True)
+                bits = max(20, int(len(known)).bit_length() + 4)
+                maybe = np.zeros(1 << bits, bool)
+                maybe[(known >> _U(64 - bits)).astype(np.int64)] = True
+                self.tables.append((shape.stride, steps, known, first, times, item[order], o[order], maybe, _U(64 - bits)))
+        self.built = True
+
+    def _meetings(self, low: np.ndarray, code: np.ndarray, a: int, b: int) -> Iterator[np.ndarray]:
+        """``(block, place)`` for the windows from a to b of ``low``: the item's block in which a sample met, and where it would begin."""
+        for stride, steps, known, first, times, item, offset, maybe, shift in self.tables:
+            start = np.arange(-(-a // stride) * stride, b, stride)
+            if not len(start) or not len(known):
                 continue
-            code = np.zeros(n, np.uint64)
-            for j in range(q):
-                code |= low[j : j + n].astype(np.uint64) << np.uint64(8 * j)
-            at = np.flatnonzero(maybe[(mix(code) >> np.uint64(42)).astype(np.int64)])
-            pos = np.minimum(np.searchsorted(known, code[at]), len(known) - 1)
-            hit = known[pos] == code[at]
-            at, pos = at[hit], pos[hit]
-            ends = np.cumsum(count[pos])
+            key, _ = sampled(low, code, start, steps)
+            on = np.flatnonzero(maybe[(key >> shift).astype(np.int64)])
+            pos = np.minimum(np.searchsorted(known, key[on]), len(known) - 1)
+            hit = known[pos] == key[on]
+            on, pos = start[on[hit]], pos[hit]
+            ends = np.cumsum(times[pos])
             lo = 0
-            while lo < len(at):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2_000_000, "right")))
-                x, each = at[lo:hi], count[pos[lo:hi]]
+            while lo < len(on):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 500_000, "right")))
+                each = times[pos[lo:hi]]
                 last = np.cumsum(each)
-                piece = np.arange(last[-1]) + np.repeat(first[pos[lo:hi]] - last + each, each)
-                i = item[piece]
-                total += np.bincount(base[i] + (np.repeat(x, each) - offset[piece] + self.size[i] >> self.shift[i]), minlength=len(total)).astype(np.int32)
+                entry = np.arange(last[-1]) + np.repeat(first[pos[lo:hi]] - last + each, each)
+                i, o = item[entry], offset[entry]
+                nth = np.clip((o - 16) // 32, 0, np.diff(self.first_block)[i] - 1)
+                block = self.first_block[i] + nth
+                place = np.repeat(on[lo:hi], each) - o + self.begin[block]
+                # Places less than 16 bytes apart are looked at together.
+                yield np.unique(block << 40 | place + 128 >> 4)
                 lo = hi
-        running = np.concatenate([np.zeros(1, np.int32), np.cumsum(total, dtype=np.int32)])
-        for i in range(len(bins)):
-            size, k, shift, run = int(self.size[i]), int(self.edits[i]), int(self.shift[i]), int(self.run[i])
-            own = running[base[i] : base[i] + bins[i] + 1]
-            for cell in np.flatnonzero(own[run:] - own[:-run] >= self.least[i]).tolist():
-                start = (cell << shift) - size
-                yield i, max(0, a + start - k), a + start + (run << shift) + size + 2 * k
-
-    def near(self, low: np.ndarray, stretches: list[tuple[int, int, int]], lanes: int = 4096) -> list[tuple[int, int, int]]:
-        """Those ``(item, a, b)`` that hold a block of the item within its share of the edits: Myers' search, many at once."""
-        if not stretches:
-            return []
-        item, start, end = np.array(stretches, np.int64).T
-        each = np.diff(self.first_block)[item]
-        owner = np.repeat(np.arange(len(item)), each)
-        block = self.first_block[item][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
-        length = (end - start)[owner]
-        order = np.argsort(length, kind="stable")
-        text = np.concatenate([low, np.zeros(int(length.max()), np.uint8)])
-        keep, one = np.zeros(len(item), bool), np.uint64(1)
-        for k in range(0, len(order), lanes):
-            lane = order[k : k + lanes]
-            own, begin, row = block[lane], start[owner[lane]], block[lane] * 256
-            top, score = self.top[own], self.top[own].astype(np.int64) + 1
-            best, table = score.copy(), self.at.ravel()
-            plus, minus = np.full(len(lane), ~np.uint64(0)), np.zeros(len(lane), np.uint64)
-            for j in range(int(length[lane[-1]])):
-                eq = table[row + text[begin + j]]
+
+    def _near(self, low: np.ndarray, block: np.ndarray, start: np.ndarray, lanes: int = 4096) -> np.ndarray:
+        """Whether a block lies within its edits in the 112 bytes from ``start``: Myers' search, many at once."""
+        keep, one, table = np.zeros(len(block), bool), _U(1), self.at.ravel()
+        for k in range(0, len(block), lanes):
+            own, begin = block[k : k + lanes], start[k : k + lanes]
+            row, top = own * 256, (self.width[own] - 1).astype(_U)
+            score = self.width[own].copy()
+            best = score.copy()
+            plus, minus = np.full(len(own), ~_U(0)), np.zeros(len(own), _U)
+            for j in range(112):
+                eq = table[row + low[begin + j]]
                 x = eq | minus
                 d0 = (((eq & plus) + plus) ^ plus) | eq | minus
                 hp, hn = minus | ~(d0 | plus), plus & d0
@@ -189,8 +281,8 @@ class Tables:
                 hp <<= one
                 hn <<= one
                 plus, minus = hn | ~(x | hp), hp & x
-            keep[owner[lane[best <= self.most[own]]]] = True
-        return [x for x, k in zip(stretches, keep) if k]
+            keep[k : k + lanes] = best <= self.most[own]
+        return keep
 
     def _joined(self, stretches: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
         now = None
@@ -204,19 +296,32 @@ class Tables:
         if now:
             yield now
 
-    def search(self, flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    def search(self, flat: np.ndarray, offsets: np.ndarray, piece: int = 1 << 17) -> Iterator[tuple[int, int, int, int, int]]:
         """``(text, item, distance, start, end)`` of the best occurrence of each item in each text; byte offsets."""
-        low = _PLAIN[flat]
+        if not self.texts or not len(flat):
+            return
+        if not self.built:
+            self._build()
+        n = len(flat)
+        low = np.zeros(n + 4 * _SPACE, np.uint8)
+        low[:n] = _PLAIN[flat]
         stretches: list[tuple[int, int, int]] = []
-        for a in range(0, len(low) if self.texts else 0, 1 << 16):
-            own = []
-            for item, x, y in self._joined(list(set(self._candidates(low[a : a + (1 << 16) + self.reach], a)))):
-                most = int(self.size[item] + self.edits[item])
-                own += [(item, z, min(y, z + 2 * most, len(low))) for z in range(x, max(x + 1, min(y, len(low)) - most), most)]
-            stretches += self.near(low, own)
-        stretches = list(self._joined(stretches))
+        for a in range(0, n, piece):
+            b = min(n, a + piece)
+            code = codes(low[a : b + _SPACE])
+            met = list(self._meetings(low[a : b + _SPACE], code, 0, b - a))
+            if not met:
+                continue
+            met = np.unique(np.concatenate(met))
+            block, start = met >> 40, a + ((met & ((1 << 40) - 1)) << 4) - 144
+            first = np.maximum(start, 0)
+            on = self._near(low, block, first)
+            for r, x in zip(block[on].tolist(), start[on].tolist()):
+                item = int(self.owner[r])
+                k, begin = int(self.edits[item]), x + 16 - int(self.begin[r])
+                stretches.append((item, max(0, begin - k - 16), begin + int(self.size[item]) + k + 32))
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for item, a, b in stretches:
+        for item, a, b in list(self._joined(stretches)):
             body, most = self.texts[item], int(self.edits[item])
             for i in range(int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets[:-1], b, "left"))):
                 first, last = max(a, int(offsets[i])), min(b, int(offsets[i + 1]))
@@ -233,13 +338,13 @@ class Tables:
 
 
 def _blocks(items: DataFrame, p: Leaks) -> Iterator[Tables]:
-    """The benchmark in blocks of bounded size, so that what goes to the executors at once is bounded too."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    blocks = max(1, math.ceil(size["n"] / p.block_items), math.ceil(size["b"] / p.block_bytes))
+    """The distinct texts of the benchmark in blocks of bounded size, so that what goes to the executors at once is bounded too."""
+    rows = items.select("text").where(F.col("text").isNotNull()).distinct()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("b")).first()
+    blocks = max(1, math.ceil(size["b"] / p.block_bytes))
     for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield Tables([(r["item_id"], r["text"]) for r in part.collect()], p)
+        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        yield Tables(sorted(r["text"] for r in part.collect()), p)
 
 
 def leaks(docs: DataFrame, items: DataFrame, p: Leaks = Leaks()) -> DataFrame:
@@ -247,10 +352,11 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leaks = Leaks()) -> DataFrame:
 
     start and end (exclusive) are code points of the best occurrence, the
     nearest and then the first.  Null, empty and blank texts or items match
-    nothing.  A benchmark larger than a block costs one pass over the
-    documents for each block.
+    nothing; a repeated row of either table repeats its rows.  A benchmark
+    larger than a block costs one pass over the documents for each block.
     """
-    schema = "doc_id long, item_id long, distance long, similarity double, start long, end long"
+    schema = "doc_id long, item string, distance long, similarity double, start long, end long"
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for tables in _blocks(items, p):
@@ -264,18 +370,20 @@ def leaks(docs: DataFrame, items: DataFrame, p: Leaks = Leaks()) -> DataFrame:
                 for i, item, d, x, y in tables.search(flat, offsets):
                     starts = np.cumsum((flat[offsets[i] : offsets[i + 1]] & 0xC0) != 0x80)
                     a, b = (int(starts[x - 1]) if x else 0), (int(starts[y - 1]) if y else 0)
-                    rows.append((ids[i], tables.ids[item], d, 1 - d / len(tables.texts[item]), a, b))
+                    rows.append((ids[i], tables.names[item], d, 1 - d / len(tables.texts[item]), a, b))
                 columns = list(zip(*rows)) or [[]] * 6
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "distance", "similarity", "start", "end"])
+                types = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item", "distance", "similarity", "start", "end"])
 
         part = slim.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    ids = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
+    return out.join(ids, "item").select("doc_id", "item_id", "distance", "similarity", "start", "end")
 
 
 def clean(docs: DataFrame, items: DataFrame, p: Leaks = Leaks()) -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text no item occurs."""
+    """The rows of ``docs``, all columns, in whose text no item occurs; a null or empty text stays."""
+    bounded_batches(docs.sparkSession)
     names, out = docs.columns, docs
     for tables in _blocks(items, p):
         shared = docs.sparkSession.sparkContext.broadcast(tables)
