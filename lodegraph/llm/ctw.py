@@ -10,9 +10,9 @@ Nothing of the tree is cut, gathered or broadcast.  Distinct windows are dealt
 by ranges of the context one byte short of the longest, of which each has at
 most 65,536 windows, and the two longest context lengths are worked out there.
 Shorter ones follow level by level, each an aggregation by the next shorter
-context.  The nodes of a window are joined to it from the root down, and its
-probability joins the chunk of documents that holds it, numbered as it is read;
-so do the counts of the chunk's words.
+context.  The nodes of a window are joined to it from the root down.  Documents
+are dealt into chunks by a hash; a chunk's distinct windows and words are joined
+with their probabilities and counts, packed by chunk, and meet its texts again.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodegraph.llm.scratch import written
+from lodegraph.llm.scratch import bounded_batches, discard, written
 from lodegraph.llm.words import pieces, utf8, words
 
 _U = np.uint64
 _WORD, _WINDOW, _DOC = 0, 1, 2
+_VALUE = {_WORD: np.float64, _WINDOW: np.float32}
+#: Bytes of text that a chunk has on average.
+_CHUNK_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -259,15 +261,17 @@ def window_scores(windows: DataFrame, p: Ctw) -> DataFrame:
 
     Windows of which n is 0 are scored and not learned from.
     """
-    deep = written(_deep(windows, p), "deep")
+    deep = written(_deep(windows, p), "context-deep")
     sums = [F.sum("n").alias("n"), *(F.sum(f"b{i}").alias(f"b{i}") for i in range(8))]
     rows, own = deep.where("q is null").groupBy("key").agg(*sums), {}
     for d in range(p.depth - 2, -1, -1):
-        own[d] = written(_level(rows, d, p), "level")
+        own[d] = written(_level(rows, d, p), "context-level")
         rows = own[d].groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(d)))).alias("key")).agg(*sums)
     path = None
     for d in range(p.depth - 1):
-        path = written(_lengthened(path, own[d], d), "path")
+        longer = written(_lengthened(path, own[d], d), "context-path")
+        discard(own[d], *([path] if path else []))
+        path = longer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +280,9 @@ def window_scores(windows: DataFrame, p: Ctw) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log10(total).sum(axis=1))], ["key", "score"])
 
     both = deep.where("q is not null").join(path.withColumnRenamed("key", "short"), F.col("key").bitwiseAND(F.lit(int(_mask(p.depth - 1)))) == F.col("short"))
-    return both.select("key", "q", "path").mapInArrow(run, "key long, score double")
+    out = written(both.select("key", "q", "path").mapInArrow(run, "key long, score double"), "context-scores")
+    discard(deep, path)
+    return out
 
 
 @dataclass
@@ -341,16 +347,14 @@ def _distinct(keys: np.ndarray, count: bool) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys))) * count
 
 
-_PARTS = "what tinyint, chunk long, key long, n long, doc_id long, held_out boolean, text string"
-
+def _chunk_keys(docs: DataFrame, p: Ctw, most: int = 1_500_000) -> DataFrame:
+    """``docs(chunk, held_out, text)``, chunk by chunk -> ``(what, chunk, key, n)``: a chunk's words and windows with their training counts.
 
-def _parts(docs: DataFrame, p: Ctw, most: int = 1_500_000, most_bytes: int = 32 << 20) -> DataFrame:
-    """``docs(doc_id, text, held_out)`` -> the words and windows of each chunk, with their training counts, and its texts."""
-    types = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
-    names = [f.split()[0] for f in _PARTS.split(", ")]
+    A key comes again where a chunk has more than ``most``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, chunk, size = TaskContext.get().partitionId(), 0, 0
+        chunk: int | None = None
         held: dict[int, list[tuple]] = {_WORD: [], _WINDOW: []}
 
         def gathered() -> int:
@@ -364,29 +368,78 @@ def _parts(docs: DataFrame, p: Ctw, most: int = 1_500_000, most_bytes: int = 32
             for what, pairs in held.items():
                 for keys, n in pairs:
                     for a in range(0, len(keys), 50_000):
-                        k = keys[a : a + 50_000]
-                        columns = {"what": np.full(len(k), what, np.int8), "chunk": np.full(len(k), task << 32 | chunk), "key": k.view(np.int64), "n": n[a : a + 50_000]}
-                        yield pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(len(k), t) for c, t in zip(names, types)], names)
+                        k = keys[a : a + 50_000].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), what, np.int8)), pa.array(np.full(len(k), chunk)), pa.array(k), pa.array(n[a : a + 50_000])], ["what", "chunk", "key", "n"])
                 pairs.clear()
 
         for batch in batches:
-            flat, offsets = utf8(batch.column(1))
-            test = np.array(batch.column(2).to_pylist(), bool)
-            for a, b in pieces(offsets):
+            which = batch.column(0).to_numpy()
+            flat, offsets = utf8(batch.column(2))
+            test = np.array(batch.column(1).to_pylist(), bool)
+            for a, b in _runs(which, pieces(offsets)):
+                if which[a] != chunk:
+                    yield from flush()
+                    chunk = int(which[a])
                 part, own = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 w, keys = words(part, own), p.windows(part, own)
                 for what, k, each in ((_WORD, w.hashes, np.diff(w.bounds)), (_WINDOW, keys, np.diff(own))):
                     train = np.repeat(~test[a:b], each)
                     held[what] += [_distinct(k[train], True), _distinct(k[~train], False)]
-                n = b - a
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, _DOC, np.int8)), pa.array(np.full(n, task << 32 | chunk)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), batch.column(0).slice(a, n), batch.column(2).slice(a, n), batch.column(1).slice(a, n)], names)
-                size += len(part)
-                if size > most_bytes or sum(len(k) for x in held.values() for k, _ in x) > most and gathered() > 2 * most // 3:
+                if sum(len(k) for x in held.values() for k, _ in x) > most and gathered() > 2 * most // 3:
                     yield from flush()
-                    chunk, size = chunk + 1, 0
         yield from flush()
 
-    return docs.mapInArrow(run, _PARTS)
+    return docs.mapInArrow(run, "what tinyint, chunk long, key long, n long")
+
+
+def _runs(which: np.ndarray, ranges: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The ranges, cut where ``which`` changes."""
+    cuts = np.flatnonzero(np.diff(which)) + 1 if len(which) else np.zeros(0, np.int64)
+    for a, b in ranges:
+        edges = [a, *cuts[(cuts > a) & (cuts < b)].tolist(), b]
+        yield from zip(edges[:-1], edges[1:])
+
+
+def _packed(known: DataFrame, most: int = 500_000) -> DataFrame:
+    """``(what, chunk, key, value)`` -> ``(what, chunk, size, pack)``: up to ``most`` rows at once, those of a chunk sorted by key and compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            what, chunk, key, value = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            key, group = key.view(_U), chunk * 4 + what
+            order = np.lexsort((key, group))
+            group, key, value = group[order], key[order], value[order]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            rows = []
+            for a, b in zip(first, [*first[1:], len(group)]):
+                kind = int(group[a] & 3)
+                # Bytes of like weight stand together, so that the high ones, mostly zeros, take no room.
+                raw = b"".join(x.view(np.uint8).reshape(b - a, -1).T.tobytes() for x in (np.diff(key[a:b], prepend=_U(0)), value[a:b].astype(_VALUE[kind])))
+                rows.append((kind, int(group[a] >> 2), int(b - a), pa.compress(raw, "zstd", asbytes=True)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int8(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["what", "chunk", "size", "pack"])
+
+        for batch in batches:
+            if len(batch):
+                held.append([c.to_numpy() for c in batch.columns])
+                size += len(batch)
+                if size > most:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    return known.mapInArrow(run, "what tinyint, chunk long, size long, pack binary")
+
+
+def _unpacked(kind: int, size: int, pack: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width = np.dtype(_VALUE[kind]).itemsize
+    raw = np.frombuffer(pa.decompress(pack, decompressed_size=(8 + width) * size, codec="zstd"), np.uint8)
+    step, value = (np.ascontiguousarray(x.reshape(-1, size).T).view(t).ravel() for x, t in ((raw[: 8 * size], _U), (raw[8 * size :], _VALUE[kind])))
+    return np.cumsum(step, dtype=_U), value
 
 
 def score(docs: DataFrame, held_out: Column, p: Ctw = Ctw()) -> DataFrame:
@@ -396,14 +449,17 @@ def score(docs: DataFrame, held_out: Column, p: Ctw = Ctw()) -> DataFrame:
     log10 probability of the whole text, 0 for an empty or null one, whose
     bits_per_byte is null.  base_score sums log10((c + 1) / (N + V + 1)) over
     the words and one end.  With nothing to learn from, every bit costs one
-    bit and every count is 0.
+    bit and every count is 0.  A row's columns but these two are not looked at,
+    and a repeated row counts each time.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    parts = written(_parts(rows, p), "parts")
-    own, texts = parts.where(f"what != {_DOC}").select("what", "chunk", "key", "n"), parts.where(f"what = {_DOC}")
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("ends")).first()
+    ends, chunks = size["ends"], size["bytes"] // _CHUNK_BYTES + 1
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    own = written(_chunk_keys(dealt.select("chunk", "held_out", "text").repartition("chunk").sortWithinPartitions("chunk"), p), "chunk-keys")
     counts = lambda what: own.where(f"what = {what}").groupBy("key").agg(F.sum("n").alias("n"))
     vocabulary = written(counts(_WORD).where("n > 0"), "vocabulary")
-    ends = texts.where("not held_out").count()
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, n_kinds = total["n"] + ends, total["v"] + (ends > 0)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
@@ -427,11 +483,11 @@ def score(docs: DataFrame, held_out: Column, p: Ctw = Ctw()) -> DataFrame:
                     chunk, found, tables = which[a], {_WORD: [], _WINDOW: []}, {}
                 part = batch.slice(a, b - a)
                 if what[a] != _DOC:
-                    found[what[a]].append((part.column(2).to_numpy().view(_U), part.column(3).to_numpy()))
+                    found[what[a]] += [_unpacked(what[a], n, x) for n, x in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                     continue
                 if not tables:
                     for k, pairs in found.items():
-                        keys, value = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, _U), np.zeros(0))
+                        keys, value = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, _U), np.zeros(0, np.float32))
                         order = np.argsort(keys)
                         tables[k] = keys[order], value[order]
                     found = {}
@@ -442,18 +498,22 @@ def score(docs: DataFrame, held_out: Column, p: Ctw = Ctw()) -> DataFrame:
                     body, at = flat[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
                     w = words(body, at)
                     c = looked_up(_WORD, w.hashes)
-                    running = [np.concatenate([[0], np.cumsum(z)]) for z in (c > 0, np.log10(c + 1), looked_up(_WINDOW, p.windows(body, at)))]
+                    running = [np.concatenate([[0], np.cumsum(z, dtype=float)]) for z in (c > 0, c, looked_up(_WINDOW, p.windows(body, at)))]
                     seen, base, scores = (np.diff(z[e]) + 0.0 for z, e in zip(running, (w.bounds, w.bounds, at)))
-                    tokens, size = np.diff(w.bounds) + 1, np.diff(at)
+                    tokens, sizes = np.diff(w.bounds) + 1, np.diff(at)
                     for i in range(y - x):
-                        out.append((ids[x + i], test[x + i], int(tokens[i]), int(seen[i]) + (ends > 0), n_train, float(base[i]) + end - int(tokens[i]) * per_token, float(scores[i]), float(-scores[i] * math.log2(10) / size[i]) if size[i] else None))
+                        out.append((ids[x + i], test[x + i], int(tokens[i]), int(seen[i]) + (ends > 0), n_train, float(base[i]) + end - int(tokens[i]) * per_token, float(scores[i]), float(-scores[i] * math.log2(10) / sizes[i]) if sizes[i] else None))
                 types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
     null = lambda t: F.lit(None).cast(t)
-    tail = [null("long").alias("doc_id"), null("boolean").alias("held_out"), null("string").alias("text")]
-    windows = written(window_scores(counts(_WINDOW), p), "scores")
-    known = [own.where(f"what = {k}").select("key", "chunk").join(table, "key").select("chunk", F.lit(k).cast("tinyint").alias("what"), "key", F.col(value).cast("double").alias("value"), *tail) for k, table, value in ((_WORD, vocabulary, "n"), (_WINDOW, windows, "score"))]
-    held = texts.select("chunk", "what", "key", null("double").alias("value"), "doc_id", "held_out", "text")
-    ordered = known[0].unionByName(known[1]).unionByName(held).repartition("chunk").sortWithinPartitions("chunk", "what")
+    windows = window_scores(counts(_WINDOW), p)
+    # Of a word, log10 of its count and one more, which is above 0 for those known.
+    value = {_WORD: F.log10(F.col("n") + 1), _WINDOW: F.col("score")}
+    known = [own.where(f"what = {k}").select("what", "chunk", "key").join(table.select("key", value[k].alias("value")), "key").select("what", "chunk", "key", "value") for k, table in ((_WORD, vocabulary), (_WINDOW, windows))]
+    packed = written(_packed(known[0].unionByName(known[1])), "chunk-packs")
+    discard(own, vocabulary, windows)
+    packs = packed.select("chunk", "what", "size", "pack", null("long").alias("doc_id"), null("boolean").alias("held_out"), null("string").alias("text"))
+    texts = dealt.select("chunk", F.lit(_DOC).cast("tinyint").alias("what"), null("long").alias("size"), null("binary").alias("pack"), "doc_id", "held_out", "text")
+    ordered = packs.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "what")
     return ordered.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
