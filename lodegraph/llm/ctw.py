@@ -32,7 +32,7 @@ _U = np.uint64
 _WORD, _WINDOW, _DOC = 0, 1, 2
 _VALUE = {_WORD: np.float64, _WINDOW: np.float32}
 #: Bytes of text that a chunk has on average.
-_CHUNK_BYTES = 32 << 20
+_CHUNK_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -347,7 +347,7 @@ def _distinct(keys: np.ndarray, count: bool) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys))) * count
 
 
-def _chunk_keys(docs: DataFrame, p: Ctw, most: int = 1_500_000) -> DataFrame:
+def _chunk_keys(docs: DataFrame, p: Ctw, most: int = 2_500_000) -> DataFrame:
     """``docs(chunk, held_out, text)``, chunk by chunk -> ``(what, chunk, key, n)``: a chunk's words and windows with their training counts.
 
     A key comes again where a chunk has more than ``most``.
