@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lodegraph.llm.sampling import distinct_texts
+
 UNDETERMINED = "und"
 _BITS = 21  # of a code point; three of them fill a non-negative 64-bit integer
 
@@ -72,19 +74,19 @@ class Profiles:
 def fit(labelled: DataFrame, size: int = 400, max_train_docs: int = 1000, max_languages: int = 1000) -> Profiles:
     """Profiles from ``labelled(text, lang)``.
 
-    A language with more than ``max_train_docs`` rows is learned from about so
-    many, drawn evenly by a hash of the text: the sample is bounded by this
+    Each language is learned from its ``max_train_docs`` distinct texts of the
+    least hash, all of them where it has no more: the sample is bounded by this
     parameter times the number of languages, which may be ``max_languages`` at
-    most (ValueError beyond).  Rows without a text or a language teach nothing.
+    most (ValueError beyond), and no language is lost, however often its texts
+    repeat.  Rows without a text or a language teach nothing.
     """
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
+    languages = rows.select("lang").distinct().limit(max_languages + 1).count()
+    if languages > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    if not counts:
+    if not languages:
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), size)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, max_train_docs / n)))])[F.col("lang")]
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    sample = distinct_texts(rows, max_train_docs, "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,10 +2,12 @@
 
 Sutton and McCallum, "Collective Segmentation and Labeling of Distant
 Entities" (2004).  The field's variables are a document's candidate tokens,
-those with a digit or an at sign.  Neighbours share chain potentials; equal
-tokens, and tokens of the same digits or the same mail name, share skip
-potentials, each with the one before it.  Loopy belief propagation, run over
-all documents of a batch at once, labels tokens that no pattern matched.
+those with a digit or an at sign, and its classes: all equal tokens, all of the
+same digits, all of the same mail name.  Neighbours share chain potentials; a
+token shares a skip potential with each of its classes.  A token that no
+pattern matched is hidden, no evidence for or against, however often it comes;
+a class has the potential of its shape once.  Loopy belief propagation, run to
+convergence over all documents of a batch at once, labels the hidden tokens.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lodegraph.llm.sampling import distinct_texts
+
 # The base kinds in their order and their patterns.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A leftmost match begins where a run of digits does; said so, long runs are read once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -34,6 +39,7 @@ _EDGE = ".,;:!?()[]<>\"'"
 OTHER = len(KINDS)  # the label of a token that is no personal data
 LABELS = OTHER + 1
 _SHAPES = 4 * 2 * 2 * 2
+_DISAGREE = 0.02
 
 
 def _luhn(digits: str) -> bool:
@@ -89,7 +95,17 @@ class Nodes:
     shape: np.ndarray
     base: np.ndarray  #: kind of the base span that covers the token, OTHER if none
     chain: np.ndarray  #: pairs of neighbours
-    skip: np.ndarray  #: pairs of equal or similar tokens
+    skip: np.ndarray  #: pairs of a token and its class, of two tokens or more; classes are numbered on from the tokens
+    class_shape: np.ndarray  #: of a class, that of its first token
+
+    def labels(self) -> np.ndarray:
+        """Of tokens and classes as far as base spans tell: a class has the least kind among its tokens, a hidden token that of its classes."""
+        n, m = len(self.doc), len(self.class_shape)
+        out = np.concatenate([self.base, np.full(m, OTHER)])
+        np.minimum.at(out, self.skip[:, 1], self.base[self.skip[:, 0]])
+        hidden = self.base[self.skip[:, 0]] == OTHER
+        np.minimum.at(out, self.skip[hidden, 0], out[self.skip[hidden, 1]])
+        return out
 
 
 def _shape(token: str) -> int:
@@ -112,7 +128,7 @@ def _names(token: str) -> list[str]:
 
 
 def nodes(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Nodes:
-    doc, start, end, shape, base, chain, skip = [], [], [], [], [], [], []
+    doc, start, end, shape, base, chain, members, class_shape = [], [], [], [], [], [], [], []
     for d, (text, own) in enumerate(zip(texts, spans)):
         if not ("@" in text or _DIGIT.search(text)):
             continue
@@ -135,11 +151,13 @@ def nodes(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Nodes:
                 chain.append((v - 1, v))
             last = n
             for name in _names(token):
-                if name in seen:
-                    skip.append((seen[name], v))
-                seen[name] = v
-    pairs = lambda x: np.array(sorted(set(x)), np.int64).reshape(-1, 2)
-    return Nodes(*(np.array(x, np.int64) for x in (doc, start, end, shape, base)), pairs(chain), pairs(skip))
+                seen.setdefault(name, []).append(v)
+        for name, own_tokens in seen.items():
+            if len(own_tokens) > 1:
+                members += [(v, len(class_shape)) for v in own_tokens]
+                class_shape.append(shape[own_tokens[0]])
+    pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
+    return Nodes(*(np.array(x, np.int64) for x in (doc, start, end, shape, base)), pairs(chain), pairs(members) + [0, len(doc)], np.array(class_shape, np.int64))
 
 
 @dataclass(frozen=True)
@@ -150,15 +168,19 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
     evidence: float = 8.0
-    rounds: int = 10
+    most_rounds: int = 200
     damping: float = 0.5
+    tolerance: float = 1e-4
 
     def beliefs(self, x: Nodes) -> np.ndarray:
-        """Marginals after ``rounds`` of damped sum-product messages."""
-        n = len(x.doc)
-        local = self.unary[x.shape]
-        seen = x.base < OTHER
-        local[np.flatnonzero(seen), x.base[seen]] += self.evidence
+        """Marginals of tokens, then classes, after damped sum-product messages that change by ``tolerance`` at most."""
+        n, m = len(x.doc), len(x.class_shape)
+        # A token of a class leaves its shape's potential to the class.
+        alone = np.ones(n, bool)
+        alone[x.skip[:, 0]] = False
+        local = np.concatenate([self.unary[x.shape] * alone[:, None], self.unary[x.class_shape]])
+        seen = np.flatnonzero(x.base < OTHER)
+        local[seen, x.base[seen]] += self.evidence
         edges = np.concatenate([x.chain, x.skip])
         kind = np.repeat([0, 1], [len(x.chain), len(x.skip)])
         u, v = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
@@ -166,12 +188,15 @@ class Field:
         tables[len(edges) :] = tables[len(edges) :].transpose(0, 2, 1)
         turn = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         message = np.zeros((len(u), LABELS))
-        for _ in range(self.rounds if len(u) else 0):
-            total = local + _gathered(v, message, n)
+        for _ in range(self.most_rounds if len(u) else 0):
+            total = local + _gathered(v, message, n + m)
             new = _logsum((total[u] - message[turn])[:, :, None] + tables, 1)
             new -= _logsum(new, 1)[:, None]
+            change = float(np.abs(new - message).max())
             message = self.damping * message + (1 - self.damping) * new
-        total = local + _gathered(v, message, n)
+            if change < self.tolerance:
+                break
+        total = local + _gathered(v, message, n + m)
         return np.exp(total - _logsum(total, 1)[:, None])
 
 
@@ -185,35 +210,37 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, max_train_docs: int = 5000) -> Field:
-    """Potentials from how base labels go with shapes, neighbours and similar tokens.
+    """Potentials from how labels go with shapes, neighbours and classes.
 
-    Counted over a sample of about ``max_train_docs`` texts, drawn evenly by a
-    hash of the text: that parameter bounds it.  A token that no pattern
-    matched is evidence for OTHER of its shape; counts are smoothed by one.
+    Counted over ``max_train_docs`` distinct texts, those of the least hash:
+    that parameter bounds the sample.  A class counts
+    once however many tokens it has, a hidden token has the label of its class;
+    counts are smoothed by one, those of token and class by one pair that
+    agrees and ``_DISAGREE`` that don't.
     """
-    rows = docs.select("text").where("text is not null")
-    total = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < min(1.0, max_train_docs / max(total, 1)) * 1_000_000)
+    rows = docs.select("text", F.lit(0).alias("_all")).where("text is not null")
+    sample = distinct_texts(rows, max_train_docs, "_all").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             x = nodes(texts, [base_spans(t) for t in texts])
-            a, b, c = x.shape * LABELS + x.base, *(x.base[e[:, 0]] * LABELS + x.base[e[:, 1]] for e in (x.chain, x.skip))
+            label = x.labels()
+            alone = np.setdiff1d(np.arange(len(x.doc)), x.skip[:, 0])
+            once = np.concatenate([alone, len(x.doc) + np.arange(len(x.class_shape))])
+            a, b, c = np.concatenate([x.shape, x.class_shape])[once] * LABELS + label[once], *(label[e[:, 0]] * LABELS + label[e[:, 1]] for e in (x.chain, x.skip))
             for what, values in enumerate((a, b, c)):
                 cell, n = np.unique(values, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), what), pa.int32()), pa.array(cell, pa.int32()), pa.array(n, pa.int64())], ["what", "cell", "n"])
 
-    counts = [np.ones((_SHAPES, LABELS)), np.ones((LABELS, LABELS)), np.ones((LABELS, LABELS))]
+    counts = [np.ones((_SHAPES, LABELS)), np.ones((LABELS, LABELS)), np.full((LABELS, LABELS), _DISAGREE) + np.eye(LABELS)]
     for r in sample.mapInArrow(run, "what int, cell int, n long").groupBy("what", "cell").agg(F.sum("n").alias("n")).collect():  # at most a few hundred cells
         counts[r["what"]][divmod(r["cell"], LABELS)] += r["n"]
     unary = np.log(counts[0] / counts[0].sum(axis=1, keepdims=True))
-    pairwise = []
-    for c in counts[1:]:
-        both = c + c.T
-        each = both.sum(axis=1) / both.sum()
-        pairwise.append(np.log(both / both.sum()) - np.log(each[:, None] * each[None, :]))
-    return Field(unary, *pairwise)
+    # Of neighbours, how much likelier a pair is than by chance; of token and class, the share that agrees, whatever the label's frequency.
+    chain, skip = (c + c.T for c in counts[1:])
+    each, own = chain.sum(axis=1) / chain.sum(), np.sqrt(skip.sum(axis=1))
+    return Field(unary, np.log(chain / chain.sum()) - np.log(np.outer(each, each)), np.log(skip / np.outer(own, own)))
 
 
 def _whole(kind: int, text: str) -> bool:
@@ -234,15 +261,22 @@ def added_spans(texts: list[str], spans: list[list[tuple[int, int, int]]], field
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not len(x.doc):
         return out
-    belief = field.beliefs(x)
-    label = np.where(x.base < OTHER, x.base, np.where(belief.max(axis=1) >= least, belief.argmax(axis=1), OTHER))
-    held = x.base < OTHER
-    same = x.skip[(label[x.skip[:, 0]] == label[x.skip[:, 1]]) & (label[x.skip[:, 0]] < OTHER)]
-    while len(same):
-        reach = held[same[:, 0]] != held[same[:, 1]]
-        if not reach.any():
-            break
-        held[same[reach].ravel()] = True
+    belief, n = field.beliefs(x), len(x.doc)
+    label = np.where(belief.max(axis=1) >= least, belief.argmax(axis=1), OTHER)
+    label[:n] = np.where(x.base < OTHER, x.base, label[:n])
+    # Tokens and classes of one label that hang together; those with a base span in them count.
+    root = list(range(len(label)))
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for u, v in x.skip[(label[x.skip[:, 0]] == label[x.skip[:, 1]]) & (label[x.skip[:, 0]] < OTHER)].tolist():
+        root[find(u)] = find(v)
+    named = {find(v) for v in np.flatnonzero(x.base < OTHER).tolist()}
+    held = np.array([label[v] < OTHER and find(v) in named for v in range(n)], bool)
     joins, before = set(map(tuple, x.chain.tolist())), None
     for v in np.flatnonzero(held & (x.base == OTHER)).tolist():
         d, k, a, b = int(x.doc[v]), int(label[v]), int(x.start[v]), int(x.end[v])

@@ -351,15 +351,75 @@ def test_personal_data(spark):
 
 def test_beliefs_are_exact_on_a_tree():
     rng = np.random.default_rng(3)
-    f = pii.Field(rng.normal(size=(pii._SHAPES, pii.LABELS)), rng.normal(size=(pii.LABELS, pii.LABELS)), rng.normal(size=(pii.LABELS, pii.LABELS)), rounds=40)
-    none = np.full(3, pii.OTHER)
-    x = pii.Nodes(np.zeros(3, int), np.arange(3), np.arange(3) + 1, np.array([1, 5, 9]), none, np.array([[0, 1]]), np.array([[1, 2]]))
-    total = np.zeros((3, pii.LABELS))
-    for s in itertools.product(range(pii.LABELS), repeat=3):
-        p = math.exp(sum(f.unary[x.shape[i], s[i]] for i in range(3)) + f.chain[s[0], s[1]] + f.skip[s[1], s[2]])
-        for i in range(3):
+    f = pii.Field(rng.normal(size=(pii._SHAPES, pii.LABELS)), rng.normal(size=(pii.LABELS, pii.LABELS)), rng.normal(size=(pii.LABELS, pii.LABELS)), tolerance=1e-9)
+    base = np.array([pii.OTHER, pii.OTHER, 1])
+    # Neighbours 0 and 1; 1 and 2 in class 3.
+    x = pii.Nodes(np.zeros(3, int), np.arange(3), np.arange(3) + 1, np.array([1, 5, 9]), base, np.array([[0, 1]]), np.array([[1, 3], [2, 3]]), np.array([5]))
+    total = np.zeros((4, pii.LABELS))
+    for s in itertools.product(range(pii.LABELS), repeat=4):
+        p = math.exp(f.unary[1, s[0]] + f.unary[5, s[3]] + f.evidence * (s[2] == 1) + f.chain[s[0], s[1]] + f.skip[s[1], s[3]] + f.skip[s[2], s[3]])
+        for i in range(4):
             total[i, s[i]] += p
     assert np.allclose(f.beliefs(x), total / total.sum(axis=1, keepdims=True), atol=1e-6)
+    assert x.labels().tolist() == [pii.OTHER, 1, 1, 1]
+
+
+def test_every_repeat_gets_the_label(spark):
+    rows = [(i, f"Reach x{i}.y@mail.example.org or +1375555{4000 + i} at 10.1.{i}.2; x{i}.y@mail.example.org it is, 1375555{4000 + i} too, order {1000000 + i} of {i}", None, "s") for i in range(40)]
+    field = pii.fit(table(spark, rows))
+    for n in (1, 3, 8, 10, 100, 1000):
+        text = "Call +13755559999 now" + " then 13755559999 again" * n + " not 8765432 or 8765432."
+        (added,) = pii.added_spans([text], [pii.base_spans(text)], field)
+        assert len(added) == n and all(k == 3 and text[a:b] == "13755559999" for k, a, b in added)
+
+
+def test_base_personal_data_equals_the_plain_patterns():
+    rng = random.Random(21)
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    digits = lambda t: "".join(c for c in t if c in "0123456789")
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    good = [lambda t: True, lambda t: all(int(x) <= 255 for x in t.split(".")), lambda t: 13 <= len(digits(t)) <= 19 and luhn(digits(t)), lambda t: 9 <= len(digits(t)) <= 15]
+    alphabets = ["a@.-1 %é", "0123456789. -", "+12345 ().-0", "12.", "a1@.+ "]
+    for i in range(4000):
+        t = "".join(rng.choice(alphabets[i % 5]) for _ in range(rng.randint(0, 60)))
+        want = [(k, m.start(), m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, t) if good[k](m[0])]
+        assert pii.base_spans(t) == want, t
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "1." * 500_000, "a@" * 500_000, "+1(" * 300_000, "7 " * 500_000], ids=["digits", "dots", "ats", "plus", "blanks"])
+def test_long_runs_take_linear_time(text):
+    began = time.time()
+    base = pii.base_spans(text)
+    assert time.time() - began < 20 and len(pii.base_spans(text[:1000])) <= max(len(base), 1)
+
+
+def test_no_language_is_lost(spark):
+    rows = [(i, ["zwei drei vier", "acht neun zehn"][i % 2], "de", "s") for i in range(3000)] + [(9000 + i, f"one two three{'e' * i}", "en", "s") for i in range(30)]
+    profiles = langid.fit(table(spark, rows), max_train_docs=20)
+    assert profiles.names == ["de", "en"] and profiles.predict("vier drei")[0] == "de" and profiles.predict("three two")[0] == "en"
+
+
+def test_out_of_place_equals_brute_force(spark):
+    rng = random.Random(9)
+    syllables = {"aa": ["ka", "lo", "mi"], "bb": ["lo", "mu", "ki"], "cc": ["mi", "ka", "mu", "ö"]}
+    rows = [(i, " ".join("".join(rng.choice(syllables[k]) for _ in range(rng.randint(1, 3))) for _ in range(12)) + ", X1", k, "s") for i, k in enumerate(list(syllables) * 12)]
+
+    def grams(t):
+        t = t or ""
+        return Counter(f" {w} "[i : i + n] for w in "".join(c if c.isalpha() else " " for c in t.lower()).split() for n in (1, 2, 3) for i in range(len(w) + 3 - n) if f" {w} "[i : i + n] != " ")
+
+    def rank(counts, size):
+        code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - j) for j, c in enumerate(g))
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:size]
+
+    size = 25
+    learned = {k: rank(sum((grams(t) for _, t, lang, _ in rows if lang == k), Counter()), size) for k in syllables}
+    profiles = langid.fit(table(spark, rows), size=size)
+    for r in langid.identify(table(spark, rows), profiles).collect():
+        top = rank(grams(dict((i, t) for i, t, *_ in rows)[r["doc_id"]]), size)
+        far = {k: sum(abs(p.index(g) - i) if g in p else size for i, g in enumerate(top)) for k, p in learned.items()}
+        best = min(sorted(far), key=far.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 - far[best] / (size * len(top)))
 
 
 # 1 Media
