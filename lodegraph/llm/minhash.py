@@ -238,6 +238,26 @@ def _joined_ids(out: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
-    """The rows of ``docs``, all columns, that near_duplicates keeps; of rows that repeat a kept doc_id all stay."""
-    kept = near_duplicates(docs, p).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(written(kept, "kept").hint("merge"), docs["doc_id"].cast("long") == F.col("_kept_id"), "left_semi"))
+    """The rows of ``docs``, all columns, that near_duplicates keeps: of each group the one of the least doc_id.
+
+    Rows with no doc_id, or with one that others have too, are grouped by
+    their texts like any other and come after those with one, then in any
+    order.  A row with no words stays.  Column names of any kind may occur.
+    """
+    row = _unused("row", docs)
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    if ids.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        kept = near_duplicates(docs, p).where("kept").select(F.col("doc_id").alias(row))
+        return docs.join(written(kept, "kept").hint("merge"), docs["doc_id"].cast("long") == F.col(row), "left_semi")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    own = numbered.select(F.col(row).alias("doc_id"), "text", F.col("doc_id").cast("long").alias("own_id"))
+    groups = near_duplicates(own.select("doc_id", "text"), p).select("doc_id", "component_id").join(own.drop("text"), "doc_id")
+    first = groups.groupBy("component_id").agg(F.min_by("doc_id", F.struct(F.isnull("own_id"), "own_id", "doc_id")).alias(row))
+    return numbered.join(written(first.select(row), "kept").hint("merge"), row, "left_semi").select(docs.columns)
+
+
+def _unused(name: str, docs: DataFrame) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -121,7 +121,17 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert (got[5]["component_id"], got[5]["kept"], got[None]["component_id"], got[None]["kept"]) == (4, False, None, True)
     assert minhash.near_duplicates(table(spark, []), minhash.NearDedup()).count() == 0
     kept = minhash.keep_one(table(spark, AWKWARD))
-    assert kept.columns == table(spark, []).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 6, 7, 8]
+    assert kept.columns == table(spark, []).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 8]  # the repeated row of 4 once
+
+
+def test_one_row_of_a_group_stays(spark):
+    rows = [(3, "one two three four five six"), (1, "one two three four five six"), (1, "one two three four five six"), (None, "One two three four five six"), (None, "nine eight seven six five four"), (None, "nine eight seven six five four"), (7, None), (7, ""), (8, "x"), (9, "x")]
+    docs = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in rows], "doc_id long, text string, _kept_id int, row int, ROW_ int")
+    left = minhash.keep_one(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(1, rows[0][1]), (None, rows[4][1]), (7, None), (7, ""), (8, "x")], key=str)
+    unique = docs.where("doc_id in (3, 8, 9)")
+    assert sorted(r["doc_id"] for r in minhash.keep_one(unique).collect()) == [3, 8]
 
 
 def test_components(spark):
