@@ -19,20 +19,26 @@ def col(x: Num) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def clamp_or_zero(x: Column) -> Column:
+    """Between 0 and 1; NaN and null become 0.  Names its argument once, so that nested uses don't multiply a plan."""
+    zero = F.lit(0.0)
+    return F.greatest(zero, F.least(F.lit(1.0), F.nanvl(F.coalesce(x.cast("double"), zero), zero)))
+
+
 def clamp01(x: Column) -> Column:
     """Between 0 and 1; NaN becomes 0, null stays null."""
-    return F.when(x.isNull(), F.lit(None).cast("double")).when(F.isnan(x), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return F.when(x.isNotNull(), clamp_or_zero(x))
 
 
 def decay_factor(elapsed: Num, half_life: Num) -> Column:
     """0.5 ** (elapsed / half_life); 1 where no time has passed or the half-life is 0, negative, infinite or null."""
-    e, h = col(elapsed).cast("double"), col(half_life).cast("double")
-    still = e.isNull() | (e <= 0) | h.isNull() | (h <= 0) | (h == float("inf"))
-    return F.when(still, 1.0).otherwise(F.pow(F.lit(0.5), e / h))
+    # greatest passes over nulls, and a division by 0 gives one.
+    zero = F.lit(0.0)
+    return F.pow(F.lit(0.5), F.greatest(zero, F.try_divide(col(elapsed).cast("double"), F.greatest(zero, col(half_life).cast("double")))))
 
 
 def _part(value: Column, anchor: Column, now: Num, half_life: Num) -> Column:
-    return clamp01(value * decay_factor(col(now) - anchor, half_life))
+    return F.when(value.isNotNull(), clamp_or_zero(value * decay_factor(col(now) - anchor, half_life)))
 
 
 def class_half_life(memory_class: Column, which: int, default: float) -> Column:
@@ -45,7 +51,7 @@ def class_half_life(memory_class: Column, which: int, default: float) -> Column:
 
 def activation_score(activation: Column, now: Num, half_life: Num = S.SCORE_HALF_LIFE) -> Column:
     """The decayed score, 0 without an activation."""
-    return F.coalesce(_part(activation["score"], activation["last_meaningful_activation"], now, half_life), F.lit(0.0))
+    return clamp_or_zero(activation["score"] * decay_factor(col(now) - activation["last_meaningful_activation"], half_life))
 
 
 def _context(activation: Column, now: Num, half_life: Num) -> Column:

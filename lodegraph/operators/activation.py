@@ -51,7 +51,7 @@ class Activation:
             score = F.coalesce(own, score if self.context_fallback else F.lit(0.0))
         inhibition = F.coalesce(a["inhibition"] * scalar.decay_factor(F.lit(now) - F.coalesce(a["last_inhibited_at"], a["last_meaningful_activation"]), S.INHIBITION_HALF_LIFE), F.lit(0.0))
         nodes, attention = self._attention(nodes)
-        return nodes.withColumn("effective", scalar.clamp01(score + attention - inhibition)).drop("_attention")
+        return nodes.withColumn("effective", scalar.clamp_or_zero(score + attention - inhibition)).drop("_attention")
 
     def spread(self, graph: Graph, seeds: DataFrame, depth: int | None = None, decay: float | None = None, edge_types: list[str] | None = None) -> DataFrame:
         """``seeds(id)`` -> ``(id, hop, spread)``: decay ** hop at a node's least hop along outgoing edges; seeds are left out."""

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodegraph import schema as S
+from lodegraph.functions.embedding import feature_hash
 from lodegraph.operators import activation
 from lodegraph.operators.graph import Graph
 from lodegraph.operators.traverse import _cut
@@ -20,6 +21,14 @@ def _none(violations: DataFrame, error: type[S.GraphError]) -> None:
         raise error(str(row[0].asDict(recursive=True)))
 
 
+def last_of_each(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Of rows that repeat ``key`` the last, as the rows are read; adds their place ``_at``.  The others never leave their task."""
+    names = [c for c in rows.columns if c != key]
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    last = placed.groupBy(key).agg(F.max_by(F.struct(*names, "_at"), "_at").alias("_last"))
+    return last.select(key, *(F.col("_last")[c].alias(c) for c in [*names, "_at"]))
+
+
 # Nodes
 
 
@@ -27,12 +36,12 @@ def upsert_nodes(graph: Graph, rows: DataFrame, now: int, expected_revision: int
     """Inserts or replaces ``rows`` (id, type, data and any node columns); replacing adds 1 to the revision.
 
     All ``checks`` run on the whole batch first.  Of rows that repeat an id
-    one stays.  With ``expected_revision`` every row must meet a node of it.
+    the last stays, and new nodes are numbered in the order of their rows.  With ``expected_revision`` every row must meet a node of it.
     """
     _none(rows.where("id is null or id = '' or type is null or type = ''"), S.GraphError)
     for check in checks:
         check(rows)
-    full = Graph.of(rows, graph.edges).nodes.dropDuplicates(["id"])
+    full = last_of_each(Graph.of(rows, graph.edges).nodes)
     old = graph.nodes.select("id", F.col("revision").alias("_old"), F.col("_seq").alias("_old_seq"), F.col("inserted_at").alias("_old_time"))
     met = full.join(old, "id", "left")
     if expected_revision is not None:
@@ -40,7 +49,7 @@ def upsert_nodes(graph: Graph, rows: DataFrame, now: int, expected_revision: int
     last = graph.nodes.agg(F.coalesce(F.max("_seq"), F.lit(0)).alias("m")).first()["m"]
     new = met.withColumns({
         "revision": F.coalesce(F.col("_old") + 1, F.lit(0)).cast("long"),
-        "_seq": F.coalesce("_old_seq", F.lit(last + 1) + F.monotonically_increasing_id()),
+        "_seq": F.coalesce("_old_seq", F.lit(last + 1) + F.col("_at")),
         "inserted_at": F.coalesce("inserted_at", "_old_time", F.lit(now)).cast("long"),
         "updated_at": F.coalesce("updated_at", F.lit(now)).cast("long"),
     })
@@ -87,9 +96,12 @@ def patch_nodes(graph: Graph, ids: DataFrame, now: int, compare_and_set: dict[st
 
 
 def update_nodes(graph: Graph, changes: DataFrame, now: int) -> Graph:
-    """Merges ``changes(id, field ...)`` into ``data``: the fields given replace, others stay; ids without a node are passed over."""
+    """Merges ``changes(id, field ...)`` into ``data``: the fields given replace, others stay; ids without a node are passed over.
+
+    Of changes that repeat an id the last counts.
+    """
     names = [c for c in changes.columns if c != "id"]
-    new = changes.select("id", F.struct(*names).alias("_new"))
+    new = last_of_each(changes).select("id", F.struct(*names).alias("_new"))
     met = graph.nodes.join(new, "id", "left")
     data = F.col("data")
     for n in names:
@@ -100,22 +112,39 @@ def update_nodes(graph: Graph, changes: DataFrame, now: int) -> Graph:
 
 
 def set_vectors(graph: Graph, vectors: DataFrame) -> Graph:
-    """Replaces the vectors of ``vectors(id, vector)``; a null one removes it."""
-    met = graph.nodes.join(vectors.select("id", F.col("vector").cast("array<double>").alias("_v"), F.lit(True).alias("_on")), "id", "left")
+    """Replaces the vectors of ``vectors(id, vector)``, by the last of an id; a null one removes it."""
+    met = graph.nodes.join(last_of_each(vectors.select("id", "vector")).select("id", F.col("vector").cast("array<double>").alias("_v"), F.lit(True).alias("_on")), "id", "left")
     return replace(graph, nodes=met.withColumn("vector", F.when(F.col("_on"), F.col("_v")).otherwise(F.col("vector"))).select(graph.nodes.columns))
 
 
+def upsert_embedded(graph: Graph, rows: DataFrame, text: Column, now: int, provider: Callable[[Column], Column] = feature_hash, dimensions: int | None = None, **options: Any) -> Graph:
+    """``upsert_nodes`` of ``rows`` with the vectors that ``provider``, a function of columns, gives their ``text``.
+
+    A null text gives no vector.  A vector that is empty, has a number that
+    isn't finite, or another size than ``dimensions`` raises, and nothing changes.
+    """
+    new = rows.withColumn("vector", provider(text).cast("array<double>"))
+    size = F.size("vector")
+    _none(new.where(F.col("vector").isNotNull() & ((size == 0) | F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))).select("id"), S.GraphError)
+    if dimensions is not None:
+        _none(new.where(F.col("vector").isNotNull() & (size != dimensions)).select("id", size.alias("size")), S.DimensionMismatch)
+    return upsert_nodes(graph, new, now, **options)
+
+
 # Edges
 
 
 def add_edges(graph: Graph, rows: DataFrame, now: int, checks: list[Callable[[DataFrame], None]] = ()) -> Graph:
-    """Adds ``rows(source, type, target, ...)``; an id that exists changes nothing.  Parallel edges need ids of their own."""
+    """Adds ``rows(source, type, target, ...)``; an id that exists changes nothing, of new rows that repeat one the last stays.
+
+    Parallel edges need ids of their own.
+    """
     for check in checks:
         check(rows)
-    full = Graph.of(graph.nodes, rows).edges.dropDuplicates(["id"]).join(graph.edges.select("id"), "id", "left_anti")
+    full = last_of_each(Graph.of(graph.nodes, rows).edges).join(graph.edges.select("id"), "id", "left_anti")
     _none(full.where(~F.col("ownership").isin(*S.OWNERSHIP)).select("id", "ownership"), S.GraphError)
     last = graph.edges.agg(F.coalesce(F.max("_seq"), F.lit(0)).alias("m")).first()["m"]
-    new = full.withColumns({"_seq": F.lit(last + 1) + F.monotonically_increasing_id(), "created_at": F.coalesce("created_at", F.lit(now)).cast("long")})
+    new = full.withColumns({"_seq": F.lit(last + 1) + F.col("_at"), "created_at": F.coalesce("created_at", F.lit(now)).cast("long")})
     return replace(graph, edges=graph.edges.unionByName(new, allowMissingColumns=True).select(graph.edges.columns))
 
 

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lodegraph.plans.plan import OUT, Traversal
+from lodegraph.schema import ResourceLimit
 
 #: Hops that stay one lazy plan; deeper traversals cut their lineage at each further hop.
 LAZY_HOPS = 3
 
 
-def step(edges: DataFrame, edge_types: list[str] | None, direction: str = OUT) -> DataFrame:
-    """``(from_id, to_id)`` along edges of the types (any where None), each pair once."""
+def links(edges: DataFrame, edge_types: list[str] | None, direction: str = OUT) -> DataFrame:
+    """``(from_id, to_id)`` along edges of the types (any where None), one for each edge."""
     own = edges if edge_types is None else edges.where(F.col("type").isin(*edge_types))
     a, b = ("source", "target") if direction == OUT else ("target", "source")
-    return own.select(F.col(a).alias("from_id"), F.col(b).alias("to_id")).distinct()
+    return own.select(F.col(a).alias("from_id"), F.col(b).alias("to_id"))
+
+
+def step(edges: DataFrame, edge_types: list[str] | None, direction: str = OUT) -> DataFrame:
+    """``links``, each pair once."""
+    return links(edges, edge_types, direction).distinct()
 
 
 def reach(seeds: DataFrame, edges: DataFrame, edge_types: list[str] | None, depth: int, direction: str = OUT) -> DataFrame:
@@ -22,11 +28,11 @@ def reach(seeds: DataFrame, edges: DataFrame, edge_types: list[str] | None, dept
 
     Ids without a node are walked through like any other.
     """
-    links = step(edges, edge_types, direction)
+    ways = links(edges, edge_types, direction)
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     frontier = seen.select("id")
     for hop in range(1, depth + 1):
-        new = frontier.join(links, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        new = frontier.join(ways, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         if hop > LAZY_HOPS:
             new = _cut(new)
             if new.isEmpty():
@@ -64,7 +70,8 @@ def walk(start: str, edges: DataFrame, edge_type: str, ancestors: bool, max_step
     """Follows the first edge (by ``_seq``) from node to node until there is none or a node comes again.
 
     Ancestors come root first, with ``start`` last; descendants begin with
-    ``start``.  Each step is one lookup, so a walk costs as many small jobs as it is long.
+    ``start``.  Each step is one lookup, so a walk costs as many small jobs as
+    it is long; beyond ``max_steps`` it raises ResourceLimit.
     """
     near, far = ("target", "source") if ancestors else ("source", "target")
     own = edges.where(F.col("type") == edge_type).groupBy(near).agg(F.min_by(far, "_seq").alias("next")).cache()
@@ -76,6 +83,8 @@ def walk(start: str, edges: DataFrame, edge_type: str, ancestors: bool, max_step
                 break
             at = row["next"]
             path.append(at)
+        else:
+            raise ResourceLimit(f"a walk of more than {max_steps} steps")
     finally:
         own.unpersist()
     return path[::-1] if ancestors else path

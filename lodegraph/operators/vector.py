@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodegraph import schema as S
 from lodegraph.functions import scalar
+from lodegraph.functions.embedding import embed
 
 SIMILARITY = {"cosine": scalar.cosine_similarity, "euclidean": scalar.euclidean_similarity}
 
@@ -28,6 +30,14 @@ def top_k(nodes: DataFrame, vector: list[float], k: int, threshold: float = 0.0,
     return own.where(F.col("score") >= threshold).orderBy(F.desc("score"), "_seq", "id").limit(k).select("id", "score")
 
 
+def search_text(nodes: DataFrame, text: str, k: int, provider: Callable[[str], list[float]] = embed, threshold: float = 0.0) -> DataFrame:
+    """``top_k`` of the vector that ``provider`` gives ``text``; a text to which it gives none, or zeros (as to ''), finds nothing."""
+    vector = provider(text) if text else []
+    if not any(vector):
+        return nodes.select("id", F.lit(0.0).alias("score")).limit(0)
+    return top_k(nodes, vector, k, threshold)
+
+
 def as_float32(nodes: DataFrame) -> DataFrame:
     """Vectors rounded to single precision, still of doubles."""
     return nodes.withColumn("vector", F.col("vector").cast("array<float>").cast("array<double>"))

@@ -316,7 +316,13 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = graph(spark, sf_dir, "part").nodes.withColumn("vector", embedding.feature_hash(F.col("data.p_name"), 64))
-    return vector.top_k(n, embedding.embed("part", 64), 10).withColumn("score", _r("score"))
+    return vector.search_text(n, "part", 10, lambda t: embedding.embed(t, 64)).withColumn("score", _r("score"))
+
+
+@query("SELECT NULL::VARCHAR AS id, NULL::DOUBLE AS score WHERE false")
+def search_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = graph(spark, sf_dir, "part").nodes.withColumn("vector", embedding.feature_hash(F.col("data.p_name"), 64))
+    return vector.search_text(n, "", 10, lambda t: embedding.embed(t, 64))
 
 
 @query("SELECT 'customer:' || c_custkey || '::IN_NATION::nation:' || c_nationkey AS id FROM customer")
@@ -334,6 +340,26 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.nodes.select("id", F.col("data.c_acctbal").alias("balance"), "revision")
 
 
+@query("SELECT 'customer:' || c_custkey AS id, CASE WHEN c_nationkey <= 4 THEN c_nationkey + 0.5 ELSE c_acctbal END AS balance, CAST(CASE WHEN c_nationkey <= 4 THEN 1 ELSE 0 END AS BIGINT) AS revision FROM customer")
+def upsert_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row comes three times in the batch; the last counts."""
+    g = graph(spark, sf_dir, "customer")
+    own = g.nodes.where("data.c_nationkey <= 4")
+    times = [own.withColumn("data", F.col("data").withField("c_acctbal", x)) for x in (F.lit(1.0), F.lit(2.0), F.col("data.c_nationkey") + 0.5)]
+    out = mutate.upsert_nodes(g, times[0].unionByName(times[1]).unionByName(times[2]), NOW)
+    return out.nodes.select("id", F.col("data.c_acctbal").alias("balance"), "revision")
+
+
+@query("SELECT 'nation:' || n_nationkey AS id, CASE WHEN n_regionkey = 2 THEN 'last' ELSE n_name END AS name, CAST(CASE WHEN n_regionkey = 2 THEN 1 ELSE 0 END AS BIGINT) AS revision FROM nation")
+def update_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two changes of each node; the last counts and no node is doubled."""
+    g = graph(spark, sf_dir, "nation")
+    own = g.nodes.where("data.n_regionkey = 2").select("id")
+    changes = own.withColumn("n_name", F.lit("first")).unionByName(own.withColumn("n_name", F.lit("last")))
+    out = mutate.update_nodes(g, changes, NOW)
+    return out.nodes.select("id", F.col("data.n_name").alias("name"), "revision")
+
+
 @query("SELECT 'customer:' || c_custkey AS id, CASE WHEN c_custkey = 1 THEN 'PATCHED' ELSE c_mktsegment END AS segment, round(CASE WHEN c_custkey = 1 THEN c_acctbal + 5 ELSE c_acctbal END, 2) AS balance, CASE WHEN c_custkey = 1 THEN NULL ELSE c_name END AS name FROM customer")
 def patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir, "customer")

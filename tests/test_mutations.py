@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph import schema as S
-from lodegraph.functions.embedding import embed, word_slot
-from lodegraph.operators import activation, mutate
+from lodegraph.functions.embedding import embed, feature_hash, word_slot
+from lodegraph.operators import activation, mutate, vector
 from lodegraph.operators.activation import Activation
 from lodegraph.operators.graph import Graph
 from lodegraph.sources import migrate
@@ -238,3 +238,33 @@ def test_embedding():
     v = embed("Graph graph 数据", 16)
     assert sum(x * x for x in v) == pytest.approx(1.0) and embed("...", 4) == [0.0] * 4
     assert v[word_slot("graph", 16)] > 0
+
+
+def test_the_last_of_repeated_ids_counts(spark):
+    g = Graph.of(spark.createDataFrame([("a", "t", (1,)), ("b", "t", (2,))], "id string, type string, data struct<x: int>"), spark.createDataFrame([("e", "a", "L", "b")], "id string, source string, type string, target string"))
+    rows = spark.createDataFrame([("c", "t", (5,)), ("b", "t", (6,)), ("d", "t", (7,)), ("b", "t", (8,)), ("c", "t", (9,))], "id string, type string, data struct<x: int>").coalesce(1)
+    out = mutate.upsert_nodes(g, rows, 10).nodes
+    assert [(r["id"], r["data"]["x"], r["revision"]) for r in out.orderBy("_seq").collect()] == [("a", 1, 0), ("b", 8, 1), ("d", 7, 0), ("c", 9, 0)]
+    changed = mutate.update_nodes(g, spark.createDataFrame([("a", 3), ("a", 4), ("z", 1)], "id string, x int").coalesce(1), 10).nodes
+    assert sorted((r["id"], r["data"]["x"], r["revision"]) for r in changed.collect()) == [("a", 4, 1), ("b", 2, 0)]
+    vectors = mutate.set_vectors(g, spark.createDataFrame([("a", [1.0]), ("a", [2.0])], "id string, vector array<double>").coalesce(1)).nodes
+    assert sorted((r["id"], r["vector"]) for r in vectors.collect()) == [("a", [2.0]), ("b", None)]
+    edges = mutate.add_edges(g, spark.createDataFrame([("f", "b", "L", "a"), ("f", "b", "M", "a"), ("e", "b", "L", "b")], "id string, source string, type string, target string").coalesce(1), 10).edges
+    assert sorted((r["id"], r["type"], r["target"]) for r in edges.collect()) == [("e", "L", "b"), ("f", "M", "a")]
+
+
+def test_upsert_with_embedding(spark):
+    g = Graph.of(spark.createDataFrame([("a", "t", ("x",))], "id string, type string, data struct<x: string>"), spark.createDataFrame([], "source string, type string, target string"))
+    rows = spark.createDataFrame([("b", "t", ("one two",)), ("c", "t", (None,))], "id string, type string, data struct<x: string>")
+    out = {r["id"]: r["vector"] for r in mutate.upsert_embedded(g, rows, F.col("data.x"), 10, lambda t: feature_hash(t, 8), dimensions=8).nodes.collect()}
+    assert out["a"] is None and out["c"] is None and out["b"] == pytest.approx(embed("one two", 8))
+    with pytest.raises(S.DimensionMismatch):
+        mutate.upsert_embedded(g, rows, F.col("data.x"), 10, lambda t: feature_hash(t, 8), dimensions=9)
+    with pytest.raises(S.GraphError):
+        mutate.upsert_embedded(g, rows, F.col("data.x"), 10, lambda t: F.array(F.lit(float("nan"))))
+
+
+def test_text_search(spark):
+    nodes = mutate.upsert_embedded(Graph.of(spark.createDataFrame([], "id string, type string, data struct<x: string>"), spark.createDataFrame([], "source string, type string, target string")), spark.createDataFrame([("b", "t", ("red apple",)), ("c", "t", ("green pear",))], "id string, type string, data struct<x: string>"), F.col("data.x"), 10).nodes
+    assert [r["id"] for r in vector.search_text(nodes, "apple", 1).collect()] == ["b"]
+    assert vector.search_text(nodes, "", 5).count() == vector.search_text(nodes, "?!", 5).count() == 0
