@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import chat, ctw, decontaminate, langid, minhash, pieces, pii, png, secrets, warc
+from lodegraph.llm import chat, ctw, decontaminate, langid, minhash, pieces, pii, png, secrets, stages, warc
 from lodegraph.llm.scratch import bounded_batches
 
 
@@ -70,9 +70,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
