@@ -738,3 +738,14 @@ def test_pieces_round_trip(spark, vocabulary):
     back = {r["doc_id"]: r["text"] for r in pieces.decode(pieces.encode(docs, vocabulary), vocabulary).collect()}
     assert back == {i: t or "" for i, t in rows}
     assert pieces.encode(docs.limit(0), vocabulary).count() == 0
+
+
+def test_samples_are_bounded_and_whole(spark):
+    from lodegraph.llm.sampling import distinct_texts
+
+    rows = [(f"text {i % 700}", "a") for i in range(2000)] + [("one", "b")] * 50 + [(f"few {i}", "c") for i in range(9)]
+    docs = spark.createDataFrame(rows, "text string, k string")
+    got = Counter(r["k"] for r in distinct_texts(docs, 20, "k").collect())
+    assert got == {"a": 20, "b": 1, "c": 9}
+    assert {r["text"] for r in distinct_texts(docs, 10_000, "k").collect()} == {t for t, _ in rows}
+    assert distinct_texts(docs.limit(0), 5, "k").count() == 0
