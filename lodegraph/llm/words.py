@@ -7,6 +7,7 @@ working on bytes equals working on characters.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,6 +26,9 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Bytes of text worked on at once; a single longer text is worked on whole.
 CHUNK_BYTES = 1 << 19
 
+#: From this many bytes on a word is hashed by BLAKE2b: a polynomial modulo 2**64 has words of 1,024 letters that meet for certain.
+LONG_WORD = 256
+
 
 def _power(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
@@ -83,7 +87,10 @@ def words(flat: np.ndarray, offsets: np.ndarray) -> Words:
     power, inverse = _power(n + 1)
     run = np.zeros(n + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=run[1:])
-    return Words(mix((run[ends] - run[starts]) * inverse[starts]), starts, ends, np.searchsorted(starts, offsets))
+    hashes = mix((run[ends] - run[starts]) * inverse[starts])
+    for i in np.flatnonzero(ends - starts >= LONG_WORD):
+        hashes[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
