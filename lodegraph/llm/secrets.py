@@ -46,11 +46,19 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def entropy_spans(text: str, taken: list[tuple[int, int, int, str]], least_bits: float) -> list[tuple[int, int, int, str]]:
-    """Long runs of mixed letters and digits with ``least_bits`` of entropy a character that no base span touches."""
-    out = []
+    """Long runs of mixed letters and digits with ``least_bits`` of entropy a character that no span of ``taken``, in the order of starts, touches."""
+    covered: list[list[int]] = []  # the union of the spans taken
+    for _, a, b, _ in taken:
+        if covered and a < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    out, at = [], 0
     for m in _WORDISH.finditer(text):
+        while at < len(covered) and covered[at][1] <= m.start():
+            at += 1
         s = m[0]
-        if any(c.isdigit() for c in s) and s.lower() != s != s.upper() and _entropy(s) >= least_bits and not any(a < m.end() and m.start() < b for _, a, b, _ in taken):
+        if not (at < len(covered) and covered[at][0] < m.end()) and any(c.isdigit() for c in s) and s.lower() != s != s.upper() and _entropy(s) >= least_bits:
             out.append((3, m.start(), m.end(), s))
     return out
 
@@ -88,15 +96,15 @@ def _judged(marked: DataFrame, max_owners: int) -> DataFrame:
     each = marked.select("_ll_row", F.col("_ll_repo").alias("repo"), F.col("_ll_owner").alias("owner"), F.explode("_ll_found").alias("f")).select("_ll_row", "repo", "owner", "f.*")
     stats = written(ownership(each), "ownership")
     judged = each.join(stats, "hash").withColumn("live", F.col("owners") <= max_owners).where(f"kind < {len(BASE)} or live")
-    return written(judged.groupBy("_ll_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("_ll_spans")), "spans")
+    return written(judged.groupBy("_ll_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "repos", "owners"))).alias("_ll_spans")), "spans")
 
 
 def scan(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, max_owners: int = 2, keep: list[str] | None = None) -> DataFrame:
-    """Each row of ``docs``, columns ``keep`` (all), with ``_ll_spans``: array of (start, kind, end, live), null where there are none.
+    """Each row of ``docs``, columns ``keep`` (all), with ``_ll_spans``: array of (start, kind, end, live, repos, owners), null where there are none.
 
     ``repo`` and ``owner`` say where a document comes from (both default to
     ``source``).  ``live`` is true where ``max_owners`` owners or fewer have
-    the value.  Entropy candidates come back only where they are live; base
+    the value; ``repos`` and ``owners`` are how many have it.  Entropy candidates come back only where they are live; base
     ones always.  A null or empty text has no spans.
     """
     repo, owner = (F.col("source") if c is None else c for c in (repo, owner))
