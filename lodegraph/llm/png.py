@@ -73,6 +73,8 @@ def read_png(data: bytes) -> np.ndarray:
             raise ValueError(f"checksum of chunk {kind!r}")
         at += 12 + size
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("size of IHDR")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             parts.append(body)
