@@ -238,9 +238,12 @@ def records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), F.sha2(html, 256).alias("payload_digest"), F.length(html).cast("long").alias("payload_length"), html.alias("payload"))
-    first = rows.where(f"payload_length >= {int(least_bytes)}").groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    joined = rows.join(written(first, "originals"), "payload_digest", "left")
-    again = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
+    # Who revisits whom is found from ids and digests alone; payloads meet it by page, so that copies of one page don't meet in one task.
+    slim = written(rows.where(f"payload_length >= {int(least_bytes)}").select("page_id", "payload_digest"), "digests")
+    first = slim.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    revisits = slim.join(first, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct().withColumnsRenamed({"page_id": "_id", "payload_digest": "_digest"})
+    joined = rows.join(written(revisits, "revisits"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    again = F.col("first").isNotNull()
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
     return joined.select(F.when(again, "revisit").otherwise("response").alias("record_type"), name(F.col("page_id")).alias("record_id"), "target_uri", F.when(again, name(F.col("first"))).alias("refers_to"), "payload_digest", "payload_length", F.when(~again, F.col("payload")).alias("payload"))
 
