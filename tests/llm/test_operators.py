@@ -47,6 +47,14 @@ def texts(n, seed=1):
 # Words
 
 
+def test_long_words_are_told_apart():
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64, whatever the base."""
+    for n in (1 << 10, 1 << 11, 1 << 13):
+        one = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        w = words(*utf8(pa.array([one, one.translate(str.maketrans("ab", "ba")), one.upper(), f"x {one}"])))
+        assert w.hashes[0] != w.hashes[1] and w.hashes[0] == w.hashes[2] == w.hashes[4]
+
+
 def test_words_and_shingles_equal_python():
     rows = [*texts(50), None, "", " a\x0bB  c d\n", "One"]
     flat, offsets = utf8(pa.array(rows, pa.string()).slice(0))
@@ -321,6 +329,29 @@ def test_base_secrets_equal_the_plain_patterns():
         assert secrets.joined([s[:3] for s in secrets.base_spans(t)]) == reference_secrets(t)
 
 
+def test_entropy_spans_keep_off_base_spans_in_linear_time():
+    loose = "Zx8" + "qL3mPo9RtY4sBn7wVk2"
+    t = f"token={loose} {loose} {KEY}{KEY} x{loose}"
+    base = secrets.base_spans(t)
+    assert [t[a:b] for _, a, b, _ in secrets.entropy_spans(t, base, 3.0)] == [loose, "x" + loose]
+    many = f"token={loose}; {loose} " * 20_000
+    began = time.monotonic()
+    assert len(secrets.entropy_spans(many, secrets.base_spans(many), 3.0)) == 20_000
+    assert time.monotonic() - began < 10
+
+
+def test_ownership_counts_equal_brute_force(spark):
+    rng = random.Random(4)
+    keys = [f"AKIA{i:03d}ABCDEFGH12345" for i in range(12)]
+    rows = [(i, " ".join(rng.choices(keys[: 2 + i % 11], k=3)), rng.choice(["r1", "r2", "r3", "r4", None]), rng.choice(["a", "b", "c", "", None])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, source string")
+    have = {k: ({r or "" for _, t, r, _ in rows if k in t}, {o or "" for _, t, _, o in rows if k in t}) for k in keys}
+    for r in secrets.scan(docs, repo=F.col("repo"), max_owners=2).collect():
+        for s in r["_ll_spans"]:
+            repos, owners = have[r["text"][s["start"] : s["end"]]]
+            assert (s["repos"], s["owners"], s["live"]) == (len(repos), len(owners), len(owners) <= 2)
+
+
 def test_ownership_separates_copied_from_live(spark):
     mine = "token = q8Zk2LmP0xWv7RtY4sBn"
     rows = [(i, f"example {KEY} here", None, f"repo{i}") for i in range(5)] + [(9, f"isé {mine} here", None, "only"), (10, "deploy q8Zk2LmP0xWv7RtY4sBn now", None, "only")]
@@ -445,7 +476,9 @@ def test_png_filters(kind):
 def test_png_damage():
     data = bytearray(png.write_png(np.zeros((4, 4), np.uint8)))
     data[45] ^= 1
-    for bad in (bytes(data), b"junk", bytes(data[:40])):
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    short = png.SIGNATURE + chunk(b"IHDR", b"\0" * 12) + chunk(b"IEND", b"")
+    for bad in (bytes(data), b"junk", bytes(data[:40]), short):
         with pytest.raises(ValueError):
             png.read_png(bad)
 
@@ -518,6 +551,8 @@ def test_warc(spark):
     assert "record_type" not in (heads._jdf.queryExecution().executedPlan().toString().split("Filter")[1:] or [""])[0] and {r["payload"] for r in heads.collect()} == {None}
     one = warc.read(spark, path).where("record_id = 'urn:page:9'").collect()
     assert len(one) == 1 and len(one[0]["payload"]) == 300_000
+    twice = warc.archive(spark.createDataFrame([(1, "u", big), (1, "u", big), (2, "u", big), (2, "u", big)], "page_id long, url string, html string"))
+    assert sorted((r["page_id"], r["refers_to"]) for r in warc.report(spark, twice).where("refers_to is not null").collect()) == [(2, 1), (2, 1)] and warc.report(spark, twice).count() == 4
     empty = warc.archive(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.report(spark, empty).count() == 0
 
