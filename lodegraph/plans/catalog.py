@@ -68,6 +68,12 @@ def filter_edge_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir, "customer", "nation", "region").query().where_edge_source("customer:1").join("IN_REGION").ids()
 
 
+@query("SELECT 'turn:5:' || turn AS id FROM conversations WHERE conv_id = 5 AND turn = 1 AND EXISTS (SELECT 1 FROM conversations WHERE conv_id = 5 AND turn = 2)")
+def filter_edge_source_and_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Has a NEXT_TURN edge to turn 2 and is the target of one from turn 0: both edge filters apply."""
+    return graph(spark, sf_dir, "conversations").query().where_edge("NEXT_TURN", "turn:5:2").where_edge_source("turn:5:0").ids()
+
+
 @query("SELECT 'customer:' || c_custkey AS id FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def join_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir, "customer", "orders").query().where_node_type("customer").join("PLACED", predicate=F.col("data.o_totalprice") > 400000).ids()
@@ -161,6 +167,12 @@ def walk_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x, i) for i, x in enumerate(path)], "id string, position int")
 
 
+@query("SELECT 'turn:' || conv_id || ':' || turn AS id, CAST(turn AS INTEGER) AS position FROM conversations WHERE conv_id = 3 AND turn <= 1")
+def walk_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = traverse.walk("turn:3:1", graph(spark, sf_dir, "conversations").edges, "NEXT_TURN", True)
+    return spark.createDataFrame([(x, i) for i, x in enumerate(path)], "id string, position int")
+
+
 @query("SELECT id, position FROM (VALUES ('region', 0), ('nation', 1)) v(kind, position), (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey = 3), LATERAL (SELECT CASE kind WHEN 'region' THEN 'region:' || n_regionkey ELSE 'nation:3' END AS id)")
 def walk_to_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = traverse.walk("nation:3", graph(spark, sf_dir, "nation", "region").edges, "IN_REGION", False)[::-1]
@@ -299,6 +311,15 @@ def working_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["id"],) for r in rows], "id string")
 
 
+@query(ORACLE_SQL["working_memory"])
+def working_memory_persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, read from a store."""
+    store = Store(spark, _folder(spark, "store"))
+    store.save(graph(spark, sf_dir, "events"))
+    rows = Activation().working_memory(store.load().nodes, _clock(spark, sf_dir))
+    return spark.createDataFrame([(r["id"],) for r in rows], "id string")
+
+
 @query()
 def working_memory_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Activation().working_memory(graph(spark, sf_dir, "events").nodes, _clock(spark, sf_dir), limit=8, diversity=0.3, token_budget=300)
@@ -393,12 +414,10 @@ def remove_edges_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutate.remove_edges(shared, F.col("source") == "region:1")[2]
 
 
-@query("SELECT 'customer:' || min(c_custkey) AS id, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1")
+@query("SELECT min('customer:' || c_custkey) AS id, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1")
 def unique_index_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = graph(spark, sf_dir, "customer").nodes.where("type = 'customer'")
-    out = mutate.Index("nation", ("c_nationkey",), unique=True).violations(n)
-    least = n.groupBy("data.c_nationkey").agg(F.count("*").alias("n"), F.min("data.c_custkey").alias("k")).where("n > 1")
-    return least.join(out.agg(F.count("*").alias("groups")), F.lit(True)).where("groups > 0").select(F.concat(F.lit("customer:"), "k").alias("id"), "n")
+    return mutate.Index("nation", ("c_nationkey",), unique=True).violations(n)
 
 
 @query("SELECT 'customer:' || o_custkey AS id, 'one-to-one: source' AS problem FROM orders GROUP BY o_custkey HAVING count(*) > 1")
@@ -411,6 +430,21 @@ def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir, "customer", "orders").verify().agg(F.count("*").alias("problems"))
 
 
+@query("""SELECT 'edge source without a node' AS problem, (SELECT count(*) FROM orders WHERE o_custkey <= 50) AS n
+UNION ALL SELECT 'repeated node id', (SELECT count(*) FROM orders WHERE o_custkey > 50 AND o_custkey <= 60)""")
+def verify_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some customers taken away and the orders of others doubled: both are found, and nothing else."""
+    g = graph(spark, sf_dir, "customer", "orders")
+    nodes = g.nodes.where("data.c_custkey is null or data.c_custkey > 50")
+    twice = nodes.where("data.o_custkey > 50 and data.o_custkey <= 60")
+    return Graph(nodes.unionByName(twice), g.edges).verify()
+
+
+@query("SELECT count(*) AS n FROM customer")
+def count_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(graph(spark, sf_dir, "customer", "nation").count_of_type("customer"),)], "n bigint")
+
+
 @query("SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) AS nodes, CAST(0 AS BIGINT) AS vectors, CAST(0 AS BIGINT) AS activated, CAST(2 AS BIGINT) AS types, (SELECT count(*) FROM orders) AS edges")
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir, "customer", "orders").stats()
@@ -446,6 +480,13 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir).load().nodes.where("type = 'customer'").select("id", F.col("data.c_acctbal").alias("balance"))
 
 
+@query("SELECT count(*) AS n, least(greatest(count(*) - 5, 0), 25) AS paged FROM customer WHERE c_custkey <= 100 AND CASE WHEN c_custkey <= 20 THEN 1.5 ELSE c_acctbal END > 1")
+def store_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted on a store with deltas: the predicate sees the rows they put, and not those they removed."""
+    store = _stored(spark, sf_dir)
+    return spark.createDataFrame([(store.count("data.c_acctbal > 1", "customer"), store.count("data.c_acctbal > 1", "customer", 5, 25))], "n bigint, paged bigint")
+
+
 @query("SELECT CAST(1 AS BIGINT) AS sequence, 'putNode' AS op, count(*) AS n FROM customer WHERE c_custkey <= 20 UNION ALL SELECT 2, 'deleteNode', count(*) FROM customer WHERE c_custkey > 100")
 def mutation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.changes(_stored(spark, sf_dir).log_since(0)).groupBy("sequence", "op").agg(F.count("*").alias("n"))

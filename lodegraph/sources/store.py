@@ -21,6 +21,9 @@ from lodegraph.operators.graph import Graph
 
 LOG = "sequence bigint, operation_id string, transaction_id string, actor string, timestamp bigint, base_revision bigint, operations array<struct<op:string,id:string,revision:bigint>>, metadata map<string,string>"
 
+#: Changes in one record of the log, about.
+LOG_ROWS = 10_000
+
 #: What a store offers; ``require`` tests against it.
 CAPABILITIES = {"persistence": True, "transactions": True, "mutation_log": True, "secondary_indexes": True, "vector_search": True, "approximate_search": True, "migrations": True, "change_feed": True}
 
@@ -55,7 +58,12 @@ class Store:
         return Manifest(**json.loads(row[0]["body"])) if row else None
 
     def _publish(self, m: Manifest) -> None:
-        """Fails where the version exists: two writers can't both commit it."""
+        """Fails where the version exists.
+
+        Spark tests for the folder before it writes, so this finds a writer
+        that came earlier but is no lock: two that publish in the same moment
+        need a lock of their own.
+        """
         body = self.spark.createDataFrame([(m.version, json.dumps(m.__dict__))], "version bigint, body string").coalesce(1)
         try:
             body.write.mode("errorifexists").parquet(f"{self.path}/manifest/{m.version:012d}")
@@ -85,24 +93,32 @@ class Store:
         return Graph(self._rows(m.nodes, m.removed, "node"), self._rows(m.edges, m.removed, "edge"))
 
     def _rows(self, names: list[str], removed: list[str], kind: str) -> DataFrame:
-        """The snapshot with its deltas: the newest row of each id, unless a later delta removed it."""
+        """The snapshot with its deltas: the newest row of each id, unless a later delta removed it.
+
+        The snapshot only loses the ids that deltas name, so its files are
+        neither shuffled nor sorted and a predicate reaches them; only the
+        deltas, far smaller, are grouped.
+        """
         base = self.spark.read.parquet(f"{self.path}/{names[0]}")
         if len(names) == 1:
             return base
-        out = base.withColumn("_v", F.lit(0))
+        put, gone = base.limit(0).withColumn("_v", F.lit(0)), self.spark.createDataFrame([], "id string, _gone int")
         for v, name in enumerate(names[1:], 1):
-            out = out.unionByName(self.spark.read.parquet(f"{self.path}/{name}").withColumn("_v", F.lit(v)), allowMissingColumns=True)
-        last = Window.partitionBy("id").orderBy(F.desc("_v"))
-        out = out.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-        gone = None
+            put = put.unionByName(self.spark.read.parquet(f"{self.path}/{name}").withColumn("_v", F.lit(v)), allowMissingColumns=True)
         for v, name in enumerate(removed, 1):
             if name:
-                part = self.spark.read.parquet(f"{self.path}/{name}").where(F.col("kind") == kind).select("id", F.lit(v).alias("_gone"))
-                gone = part if gone is None else gone.unionByName(part)
-        if gone is not None:
-            gone = gone.groupBy("id").agg(F.max("_gone").alias("_gone"))
-            out = out.join(gone, "id", "left").where("_gone is null or _gone < _v").drop("_gone")
-        return out.select(base.columns)
+                gone = gone.unionByName(self.spark.read.parquet(f"{self.path}/{name}").where(F.col("kind") == kind).select("id", F.lit(v).alias("_gone")))
+        gone = gone.groupBy("id").agg(F.max("_gone").alias("_gone"))
+        newest = put.groupBy("id").agg(F.max_by(F.struct(*base.columns), "_v").alias("_row"), F.max("_v").alias("_v"))
+        alive = newest.join(gone, "id", "left").where("_gone is null or _gone < _v").select("_row.*")
+        touched = put.select("id").unionByName(gone.select("id")).distinct()
+        return base.join(touched, "id", "left_anti").select(base.columns).unionByName(alive)
+
+    def count(self, predicate: str | None = None, type_: str | None = None, offset: int = 0, limit: int | None = None) -> int:
+        """Nodes of a type that meet a predicate, or how many of them a page holds; no row comes to the driver."""
+        out = self.load().nodes
+        out = out if type_ is None else out.where(F.col("type") == type_)
+        return page_count((out if predicate is None else out.where(predicate)).count(), offset, limit)
 
     # Changes
 
@@ -134,7 +150,11 @@ class Store:
         listed = empty(StructType.fromDDL("op string, id string, revision bigint"))
         for op, df, rev in changes:
             listed = listed.unionByName(df.select(F.lit(op).alias("op"), "id", (F.col(rev) if rev and rev in df.columns else F.lit(None)).cast("bigint").alias("revision")))
-        record = listed.agg(F.sort_array(F.collect_list(F.struct("op", "id", "revision"))).alias("operations")).select(
+        # One record of at most about LOG_ROWS changes; a commit of more has several, of one sequence.
+        whole = F.sort_array(F.collect_list(F.struct("op", "id", "revision"))).alias("operations")
+        parts = -(-sum(df.count() for df in self._written([nodes, edges, removed] if log_operations else [])) // LOG_ROWS)
+        chunks = listed.agg(whole) if parts <= 1 else listed.groupBy(F.pmod(F.xxhash64("op", "id"), F.lit(parts))).agg(whole)
+        record = chunks.select(
             F.lit(sequence).cast("bigint").alias("sequence"), F.lit(operation_id or f"op-{sequence}").alias("operation_id"), F.lit(transaction_id or f"tx-{sequence}").alias("transaction_id"), F.lit(actor).cast("string").alias("actor"),
             F.lit(timestamp).cast("bigint").alias("timestamp"), F.lit(base_sequence).cast("bigint").alias("base_revision"), "operations",
             F.create_map(*[F.lit(x) for kv in (metadata or {}).items() for x in kv]).cast("map<string,string>").alias("metadata"),
@@ -144,6 +164,9 @@ class Store:
         self._publish(new)
         return new
 
+    def _written(self, names: list[str]) -> list[DataFrame]:
+        return [self.spark.read.parquet(f"{self.path}/{n}") for n in names if n]
+
     def compact(self, threshold: int = 1) -> Manifest:
         """Rewrites snapshot and deltas as one snapshot where there are ``threshold`` deltas or more."""
         m = self.manifest()
@@ -166,9 +189,11 @@ class Store:
         return self.spark.read.schema(LOG).parquet(*[f"{self.path}/{n}" for n in m.log]) if m and m.log else self.spark.createDataFrame([], LOG)
 
     def log_since(self, sequence: int, limit: int | None = None) -> DataFrame:
-        """Records after ``sequence``, in order; a page of ``limit`` of them."""
-        out = self.log().where(F.col("sequence") > sequence).orderBy("sequence")
-        return out if limit is None else out.limit(limit)
+        """Records after ``sequence``, in order; a page of ``limit`` commits, each with all its records."""
+        out = self.log().where(F.col("sequence") > sequence)
+        if limit is not None:
+            out = out.join(out.select("sequence").distinct().orderBy("sequence").limit(limit), "sequence", "left_semi")
+        return out.orderBy("sequence")
 
     def latest_sequence(self) -> int:
         m = self.manifest()
@@ -195,7 +220,7 @@ class Store:
 
 
 def scan(spark: SparkSession, path: str, predicate: str | None = None, order: list[str] = (), offset: int = 0, limit: int | None = None) -> DataFrame:
-    """A persisted scan: predicate, order and page; the predicate reaches the Parquet files."""
+    """A persisted scan: predicate, order and page; the predicate reaches the snapshot's Parquet files, with deltas too."""
     out = Store(spark, path).load().nodes
     out = out if predicate is None else out.where(predicate)
     if order:

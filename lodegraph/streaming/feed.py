@@ -127,9 +127,7 @@ class SyncServer:
         fresh = tagged.join(old, ["client_id", "seq"], "left_anti").dropDuplicates(["client_id", "seq"])
         one = Window.partitionBy("client_id", F.coalesce("operation_id", F.concat_ws(":", F.lit("seq"), F.col("seq").cast("string")))).orderBy("seq")
         fresh = fresh.withColumn("_n", F.row_number().over(one)).where("_n = 1")
-        start = self.latest()
-        # The cursor is one order for all clients; a batch is what one trigger brings, bounded by the source's rate.
-        numbered = fresh.withColumn("cursor", (F.row_number().over(Window.orderBy("timestamp", "client_id", "seq")) + start).cast("bigint"))
+        numbered = self._numbered(fresh.select(*batch.columns), self.latest(), f"{self.path}/staged/{batch_id:012d}")
         numbered.select("cursor", *batch.columns).write.mode("ignore").parquet(name)
         done = self.spark.read.schema(f"cursor bigint, {OPS}").parquet(name)
         done_tx = F.when(F.col("transaction_id").isNotNull(), F.concat_ws(":", F.lit("t"), "client_id", "transaction_id"))
@@ -137,6 +135,20 @@ class SyncServer:
         ids.write.mode("ignore").parquet(f"{self.path}/identities/{batch_id:012d}")
         return done
 
+    def _numbered(self, ops: DataFrame, start: int, path: str) -> DataFrame:
+        """``ops`` with cursors after ``start`` in the order of time, client and sequence, whatever their number.
+
+        They are dealt into ranges of that order, written once, and numbered
+        within each range after the count of all ranges before it.
+        """
+        keys = ["timestamp", "client_id", "seq"]
+        ops.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()).write.mode("overwrite").parquet(path)
+        dealt = self.spark.read.schema(f"{OPS}, _range int").parquet(path)
+        sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))  # one row a range
+        before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
+        rank = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+        return dealt.withColumn("_rank", rank).join(F.broadcast(before), "_range").withColumn("cursor", (F.col("_before") + F.col("_rank") + start).cast("bigint"))
+
     def since(self, cursor: int, client_id: str | None = None) -> DataFrame:
         """A page of operations after ``cursor``, without the client's own; raises if the retained ring begins later."""
         last = self.latest()

@@ -268,3 +268,34 @@ def test_text_search(spark):
     nodes = mutate.upsert_embedded(Graph.of(spark.createDataFrame([], "id string, type string, data struct<x: string>"), spark.createDataFrame([], "source string, type string, target string")), spark.createDataFrame([("b", "t", ("red apple",)), ("c", "t", ("green pear",))], "id string, type string, data struct<x: string>"), F.col("data.x"), 10).nodes
     assert [r["id"] for r in vector.search_text(nodes, "apple", 1).collect()] == ["b"]
     assert vector.search_text(nodes, "", 5).count() == vector.search_text(nodes, "?!", 5).count() == 0
+
+
+def test_a_large_commit_has_records_of_bounded_size(spark, tmp_path, monkeypatch):
+    from lodegraph.sources import store as module
+
+    monkeypatch.setattr(module, "LOG_ROWS", 10)
+    store = module.Store(spark, str(tmp_path / "s"))
+    rows = spark.range(100).select(F.concat(F.lit("n"), "id").alias("id"), F.lit("t").alias("type"), F.struct(F.col("id").alias("x")).alias("data"))
+    empty = spark.createDataFrame([], "source string, type string, target string")
+    store.save(Graph.of(rows, empty))
+    store.commit(put_nodes=store.load().nodes.where("data.x < 55"), timestamp=1)
+    store.commit(delete_nodes=rows.where("data.x < 3").select("id"), timestamp=2)
+    log = store.log().collect()
+    assert sorted({r["sequence"] for r in log}) == [1, 2] and 3 <= sum(r["sequence"] == 1 for r in log) <= 6
+    assert sorted(o["id"] for r in log for o in r["operations"] if r["sequence"] == 1) == sorted(f"n{i}" for i in range(55))
+    assert {r["sequence"] for r in store.log_since(0, limit=1).collect()} == {1}
+    assert store.count() == 97 and store.count("data.x < 10", "t") == 7 and store.count(limit=5, offset=95) == 2
+    plan = store.load().nodes.where("type = 't'")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "PartitionFilters: [isnotnull(type" in plan
+
+
+def test_cursors_of_a_batch_over_many_ranges(spark, tmp_path):
+    from lodegraph.streaming import feed
+
+    server = feed.SyncServer(spark, str(tmp_path / "sync"), max_batch=5000)
+    own = spark.range(3000, numPartitions=7).select(F.lit("a").alias("client_id"), "id", F.lit(None).cast("string").alias("operation_id"), F.lit(None).cast("string").alias("transaction_id"), (F.col("id") * 7919 % 3001).alias("timestamp"), F.lit("addNode").alias("kind"), F.lit("{}").alias("payload")).withColumnRenamed("id", "seq")
+    server.submit(own.where("seq < 1000"), 0)
+    server.submit(own, 1)
+    got = [(r["cursor"], r["timestamp"], r["seq"]) for r in server.since(0).collect()]
+    assert [c for c, *_ in got] == list(range(1, 3001))
+    assert [x[1:] for x in got[:1000]] == sorted(x[1:] for x in got[:1000]) and [x[1:] for x in got[1000:]] == sorted(x[1:] for x in got[1000:])
